@@ -134,8 +134,7 @@ def normalize_phone(raw: Column, dial_plan: dict | None = None) -> Column:
 
 
 def phone_candidates(html: Column) -> Column:
-    links = F.transform(all_found(html, r"""(?is)<a\s[^>]*?href\s*=\s*["']\s*tel:([^"']*)""", 1),
-                        F.trim)
+    links = all_found(html, r"""(?is)<a\s[^>]*?href\s*=\s*["']\s*tel:([^"']*)""", 1)
     shaped = all_found(strip_tags(without_hidden(html)), PHONE_TEXT)
     return F.concat(links, shaped)
 

@@ -26,6 +26,15 @@ HOME_TYPE = (
     "bytes:bigint,response_time_ms:int,has_html:boolean,has_viewport:boolean,generator:string>"
 )
 PARTS = ("page", "signals", "contacts")
+# columns of the rollup, for sites whose pages are not asked for
+ROLLUP = {
+    "home": HOME_TYPE, "page_count": "bigint", "total_bytes": "bigint",
+    "flags": "array<struct<key:string,n:bigint>>", "generator": "string",
+    "admin_pages": "array<struct<key:string,url:string>>",
+    "signals": "array<struct<key:string,text:string,version:string>>",
+    "primary_email": "string", "primary_phone": "string", "n_emails": "bigint",
+    "n_phones": "bigint", "n_socials": "bigint", "n_forms": "bigint", "n_addresses": "bigint",
+}
 
 
 def fact(name: str, key, first, pos, text=None, extra=None, category=None, rank=None, home=None):
@@ -205,9 +214,12 @@ def site_rollup(firsts: DataFrame) -> DataFrame:
 def site_frame(sites: DataFrame, pages: DataFrame | None = None, *, firsts: DataFrame | None = None,
                **options) -> DataFrame:
     """Sites with what their pages say. A site without pages keeps NULLs."""
-    if firsts is None:
-        firsts = first_facts(page_facts(pages, **options))
-    joined = sites.join(site_rollup(firsts), "site", "left")
+    if firsts is None and pages is None:
+        joined = sites.select("*", *[F.lit(None).cast(t).alias(c) for c, t in ROLLUP.items()])
+    else:
+        if firsts is None:
+            firsts = first_facts(page_facts(pages, **options))
+        joined = sites.join(site_rollup(firsts), "site", "left")
     zero = ("n_emails", "n_phones", "n_socials", "n_forms", "n_addresses", "page_count",
             "total_bytes")
     flag_keys = F.transform("flags", lambda f: f["key"])

@@ -94,7 +94,8 @@ def artifact_array(analyzers: tuple) -> Column:
 
 
 def explode_artifacts(frame: DataFrame) -> DataFrame:
-    return frame.select("site", F.explode("artifacts").alias("a")).select("site", "a.*")
+    return frame.select("site", F.explode_outer("artifacts").alias("a")).select(
+        "site", "a.*").where("key is not null")
 
 
 # --- conditions --------------------------------------------------------------------------
@@ -146,7 +147,7 @@ def explode_conditions(frame: DataFrame, rules=OPPORTUNITY_RULES) -> DataFrame:
                  condition_holds(c).alias("holds"))
         for r in rules for n, c in enumerate(r.requires, start=1)
     ]
-    return with_lookups(frame).select("site", F.explode(F.array(*rows)).alias("c")).select(
+    return with_lookups(frame).select("site", F.explode_outer(F.array(*rows)).alias("c")).select(
         "site", "c.*")
 
 
@@ -280,8 +281,9 @@ def summary_finding() -> Column:
 
 
 def explode_opportunities(frame: DataFrame, column: str = "opportunities") -> DataFrame:
-    return frame.select("site", F.posexplode(column).alias("position", "o")).select(
-        "site", (F.col("position") + 1).alias("position"), "o.*").drop("weight", "supersedes")
+    return frame.select("site", F.posexplode_outer(column).alias("position", "o")).select(
+        "site", (F.col("position") + 1).alias("position"), "o.*"
+    ).where("rule_id is not null").drop("weight", "supersedes")
 
 
 def supersede(opportunities: DataFrame, rules=OPPORTUNITY_RULES) -> DataFrame:

@@ -175,9 +175,9 @@ def _summary() -> tuple[Column, dict[str, Column], Column]:
 
 
 def explode_technologies(frame: DataFrame) -> DataFrame:
-    return frame.select("site", F.explode("technologies").alias("t")).select(
+    return frame.select("site", F.explode_outer("technologies").alias("t")).select(
         "site", "t.tech_id", "t.name", "t.category", "t.version", "t.confidence", "t.evidence",
-        "t.is_outdated", "t.versions_behind", "t.latest")
+        "t.is_outdated", "t.versions_behind", "t.latest").where("tech_id is not null")
 
 
 def technologies_by_category(technologies: DataFrame) -> DataFrame:

@@ -72,15 +72,16 @@ def analyze(sites: DataFrame, pages: DataFrame, *, only: str | None = None, disa
     written before; ``lists`` adds the page lists to the evidence.
     """
     names = choose(only, disabled)
-    wanted = {p for n in names for p in ANALYZERS[n].parts} or {"page"}
-    parts = [p for p in facts.PARTS if p in wanted | {"page"}]
-    if firsts is None:
+    wanted = {p for n in names for p in ANALYZERS[n].parts}
+    parts = [p for p in facts.PARTS if p in wanted]
+    if firsts is None and parts:
         firsts = facts.first_facts(facts.page_facts(
             pages, fingerprints, parts, suffixes, placeholders, dial_plan))
     frame = facts.site_frame(sites, firsts=firsts)
     if lists:
         frame = with_page_lists(frame, pages, firsts)
-    frame = technologies.with_technologies(frame, fingerprints, latest)
+    if {"technologies", "cms"} & set(names):
+        frame = technologies.with_technologies(frame, fingerprints, latest)
     checkers = tuple(n for n in names if n in checks.FAMILIES)
     frame = checks.prepare(frame).withColumns({
         "findings": checks.finding_array(checkers, check_ids, warn_days=warn_days,
