@@ -22,7 +22,7 @@ RAW_URL = """CASE page_id % 9 WHEN 0 THEN url WHEN 1 THEN upper(host) || '.' WHE
   '  www.' || site || '/about ' WHEN 3 THEN 'not a domain' WHEN 4 THEN '' WHEN 5 THEN
   'ftp://' || host || '/x' WHEN 6 THEN 'user:pw' || chr(64) || host || ':8080/p?q=1#frag'
   WHEN 7 THEN 'https://shop.' || site || '#top' ELSE 'http://' || site END"""
-RAW = {"raw": f"SELECT page_id, url, host, site, {RAW_URL} AS raw FROM num"}
+RAW = {"rawurls": f"SELECT page_id, url, host, site, {RAW_URL} AS raw FROM num"}
 LOWERED = "CASE WHEN contains(raw, '://') THEN lower(trim(raw)) ELSE 'http://' || lower(trim(raw)) END"
 HOST_SQL = f"regexp_extract({LOWERED}, '^[^:/?#]*://(?:[^/?#]*@)?([^/?#:]*)', 1)"
 
@@ -36,7 +36,7 @@ def raw_urls(spark, sf_dir):
         "raw", spark_sql(RAW_URL))
 
 
-@register("canonical_domain", f"SELECT page_id, {registrable(HOST_SQL)} AS domain FROM raw", RAW)
+@register("canonical_domain", f"SELECT page_id, {registrable(HOST_SQL)} AS domain FROM rawurls", RAW)
 def canonical_domain(spark, sf_dir):
     return raw_urls(spark, sf_dir).select(
         "page_id", urls.canonical_domain(F.col("raw"), SUFFIXES).alias("domain"))
@@ -45,14 +45,14 @@ def canonical_domain(spark, sf_dir):
 @register("normalize_url", """
 SELECT page_id, CASE WHEN page_id % 9 IN (4, 5) THEN NULL ELSE regexp_replace(CASE WHEN
   contains(raw, '://') THEN trim(raw) ELSE 'https://' || trim(raw) END, '#.*$', '') END AS normal
-FROM raw""", RAW)
+FROM rawurls""", RAW)
 def normalize_url(spark, sf_dir):
     return raw_urls(spark, sf_dir).select(
         "page_id", urls.normalize_url(F.col("raw")).alias("normal"))
 
 
 @register("same_site", f"""
-SELECT page_id, coalesce({registrable(HOST_SQL)} = site, false) AS same FROM raw""", RAW)
+SELECT page_id, coalesce({registrable(HOST_SQL)} = site, false) AS same FROM rawurls""", RAW)
 def same_site(spark, sf_dir):
     return raw_urls(spark, sf_dir).select(
         "page_id", urls.same_site(F.col("raw"), F.col("url"), SUFFIXES).alias("same"))
@@ -87,7 +87,7 @@ def url_path(spark, sf_dir):
 
 
 @register("hostname_of", "SELECT page_id, nullif(regexp_extract(lower(raw), "
-                         "'^[^:/?#]*://(?:[^/?#]*@)?([^/?#:]*)', 1), '') AS host FROM raw", RAW)
+                         "'^[^:/?#]*://(?:[^/?#]*@)?([^/?#:]*)', 1), '') AS host FROM rawurls", RAW)
 def hostname_of(spark, sf_dir):
     return raw_urls(spark, sf_dir).select("page_id", urls.hostname_of(F.col("raw")).alias("host"))
 
