@@ -122,7 +122,8 @@ def analyze_once(sites: DataFrame, pages: DataFrame, **options) -> dict[str, Dat
         pages, pack, facts.PARTS, options.get("suffixes", fixed.DEFAULT_SUFFIXES),
         options.get("placeholders", fixed.PLACEHOLDER_DOMAINS), options.get("dial_plan"))),
         "facts")
-    frame = written(analyze(sites, pages, firsts=firsts, **options), "sites")
+    frame = written(analyze(sites, pages, firsts=firsts, **options).drop(
+        "hits", "signals", "tech_ids", "produced", "primary_cms"), "sites")
     return {
         "sites": frame,
         "findings": checks.explode_findings(frame),

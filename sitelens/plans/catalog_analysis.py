@@ -11,6 +11,7 @@ from sitelens.operators import checks, contacts, facts, opportunities, scores, t
 from sitelens.plans.analyze import analyze
 from sitelens.plans.catalog import register
 from sitelens.plans.oracle_base import clamp, q
+from sitelens.plans.stored import stored, stored_sites
 from sitelens.sources.captures import SUFFIXES, captured_pages, captured_sites
 
 
@@ -71,6 +72,13 @@ def _register_check(check_id: str, analyzer: str) -> None:
 for _id, _name in _check_ids().items():
     _register_check(_id, _name)
 
+
+
+def stored_findings(spark, sf_dir) -> DataFrame:
+    """The stored findings of the checks, without the synthesizer's summary."""
+    return stored(spark, sf_dir)["findings"].where("check_id <> 'OPP-01'")
+
+
 ALL_FINDINGS = "SELECT site, check_id, analyzer, category, status, severity, evidence FROM f_all"
 
 
@@ -101,7 +109,7 @@ def opp_01(spark, sf_dir):
                             "count(*) FILTER (evidence = '') AS without_evidence FROM f_all "
                             "WHERE status IN ('fail', 'warn')")
 def evidence_guard(spark, sf_dir):
-    table = checks.explode_findings(frame(spark, sf_dir, disabled=("opportunities",)))
+    table = stored_findings(spark, sf_dir)
     return table.where(checks.is_problem()).agg(
         F.count("*").alias("problems"),
         F.count_if(F.size("evidence") == 0).alias("without_evidence"))
@@ -113,9 +121,7 @@ SELECT site, max(status) FILTER (check_id = 'TLS-03') AS tls_03,
   max(status) FILTER (check_id = 'HDR-07') AS hdr_07,
   bool_or(check_id = 'CMS-02') AS has_cms_02 FROM f_all GROUP BY site""")
 def finding_lookup(spark, sf_dir):
-    wanted = ("TLS-03", "DNS-02", "HDR-07", "CMS-02")
-    table = checks.explode_findings(frame(
-        spark, sf_dir, disabled=("opportunities",), check_ids=frozenset(wanted + ("TLS-01",))))
+    table = stored_findings(spark, sf_dir)
     status = lambda c: F.max(F.when(F.col("check_id") == c, F.col("status")))
     return table.groupBy("site").agg(
         status("TLS-03").alias("tls_03"), status("DNS-02").alias("dns_02"),
@@ -129,7 +135,8 @@ SELECT site, check_id, status, severity, row_number() OVER (PARTITION BY site OR
   severity), check_id) AS position FROM f_all""")
 def finding_sort(spark, sf_dir):
     rank = checks.severity_rank
-    analysed = frame(spark, sf_dir, disabled=("opportunities",))
+    analysed = stored_sites(spark, sf_dir).withColumn("findings", F.filter(
+        "findings", lambda f: f["check_id"] != "OPP-01"))
     # a site has at most one finding per check, so it sorts within its own row
     ordered = F.array_sort(F.transform("findings", lambda f: F.struct(
         (~f["status"].isin(*fixed.PROBLEM_STATUSES)).alias("calm"),
@@ -144,7 +151,7 @@ SELECT site, CASE WHEN status IN ('fail', 'warn') THEN 'problems' WHEN status =
   THEN 'unchecked' ELSE 'passing' END AS bucket, count(*) AS n,
   string_agg(check_id, ',' ORDER BY check_id) AS checks FROM f_all GROUP BY ALL""")
 def finding_groups(spark, sf_dir):
-    table = checks.explode_findings(frame(spark, sf_dir, disabled=("opportunities",)))
+    table = stored_findings(spark, sf_dir)
     bucket = (
         F.when(checks.is_problem(), "problems")
         .when(F.col("status") == "not_applicable", "unchecked").otherwise("passing")
@@ -159,7 +166,7 @@ SELECT site, """ + ", ".join(f"count(*) FILTER (severity = '{s}') AS {s}" for s
                              fixed.SEVERITIES[:4]) + """
 FROM f_all WHERE status IN ('fail', 'warn') GROUP BY site""")
 def finding_counts(spark, sf_dir):
-    table = checks.explode_findings(frame(spark, sf_dir, disabled=("opportunities",)))
+    table = stored_findings(spark, sf_dir)
     return table.where(checks.is_problem()).groupBy("site").agg(
         *[F.count_if(F.col("severity") == s).alias(s) for s in fixed.SEVERITIES[:4]])
 
@@ -169,7 +176,7 @@ SELECT site, count(*) FILTER (severity = 'critical') AS critical_findings,
   count(*) FILTER (severity = 'high') AS high_findings FROM f_all WHERE status = 'fail'
 GROUP BY site""")
 def export_counts(spark, sf_dir):
-    table = checks.explode_findings(frame(spark, sf_dir, disabled=("opportunities",)))
+    table = stored_findings(spark, sf_dir)
     return table.where(F.col("status") == "fail").groupBy("site").agg(
         F.count_if(F.col("severity") == "critical").alias("critical_findings"),
         F.count_if(F.col("severity") == "high").alias("high_findings"))
@@ -535,14 +542,14 @@ def opp_supersede(spark, sf_dir):
 @register("opp_sort", "SELECT site, rule_id, urgency, row_number() OVER (PARTITION BY site ORDER "
                       "BY urank, rule_id) AS position FROM opp_all")
 def opp_sort(spark, sf_dir):
-    return _opps(spark, sf_dir).select("site", "rule_id", "urgency", "position")
+    return stored(spark, sf_dir)["opportunities"].select("site", "rule_id", "urgency", "position")
 
 
 @register("opp_counts", "SELECT urgency, category, count(*) AS n, count(DISTINCT site) AS sites "
                         "FROM opp_all GROUP BY ALL")
 def opp_counts(spark, sf_dir):
     # a site holds each rule once, so sites are counted after a first roll-up
-    per_site = _opps(spark, sf_dir).groupBy("site", "urgency", "category").agg(
+    per_site = stored(spark, sf_dir)["opportunities"].groupBy("site", "urgency", "category").agg(
         F.count("*").alias("k"))
     return per_site.groupBy("urgency", "category").agg(
         F.sum("k").alias("n"), F.count("*").alias("sites"))
@@ -550,7 +557,7 @@ def opp_counts(spark, sf_dir):
 
 @register("opp_triggered_by", "SELECT site, rule_id, triggered_by FROM opp_all")
 def opp_triggered_by(spark, sf_dir):
-    return _opps(spark, sf_dir).select(
+    return stored(spark, sf_dir)["opportunities"].select(
         "site", "rule_id", F.array_join("triggered_by", ", ").alias("triggered_by"))
 
 
@@ -659,7 +666,7 @@ SELECT site, CASE WHEN security >= 75 THEN 'good' WHEN security >= 50 THEN 'medi
   CASE WHEN opportunity >= 70 THEN 'critical' WHEN opportunity >= 45 THEN 'high'
   WHEN opportunity >= 20 THEN 'medium' ELSE 'good' END AS opportunity_band FROM scores_all""")
 def score_band(spark, sf_dir):
-    table = scores.score_table(frame(spark, sf_dir))
+    table = stored(spark, sf_dir)["scores"]
     return table.select("site", scores.health_band(F.col("security")).alias("security_band"),
                         scores.opportunity_band(F.col("opportunity")).alias("opportunity_band"))
 

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from sitelens import fixed
 from sitelens.operators import checks, opportunities, results, scores
 from sitelens.plans.catalog import register
-from sitelens.plans.catalog_analysis import contact_table, frame, tech_frame
+from sitelens.plans.catalog_analysis import tech_frame
 from sitelens.plans.oracle_base import col
+from sitelens.plans.stored import stored_contacts, stored_sites
 from sitelens.sources.captures import captured_sites, spark_sql
 
 BRAND = "upper(substr(site, 1, strpos(site, '.') - 1))"
@@ -43,7 +44,7 @@ LEFT JOIN (SELECT site, count(*) FILTER (severity = 'critical') AS critical_find
 
 
 def listing(spark, sf_dir):
-    return results.result_rows(frame(spark, sf_dir), businesses(spark, sf_dir))
+    return results.result_rows(stored_sites(spark, sf_dir), businesses(spark, sf_dir))
 
 
 @register("result_row", """
@@ -87,7 +88,7 @@ def result_ok(spark, sf_dir):
 @register("rank_by_score", "SELECT site, security AS score FROM scores_all JOIN sr_all USING (site) "
                            "WHERE NOT failed ORDER BY score DESC, site")
 def rank_by_score(spark, sf_dir):
-    return results.rank_by_score(frame(spark, sf_dir), "security")
+    return results.rank_by_score(stored_sites(spark, sf_dir), "security")
 
 
 # --- scans: the orders table stands in for the scan history ----------------------------------
@@ -165,7 +166,7 @@ UNION ALL SELECT 'one business per scan and domain', (SELECT count(*) FROM (SELE
 UNION ALL SELECT 'scan limit within 1..500', (SELECT count(*) FROM scans WHERE NOT
   total BETWEEN 1 AND 500)""", SCANS_SQL)
 def dq_constraints(spark, sf_dir):
-    analysed = frame(spark, sf_dir)
+    analysed = stored_sites(spark, sf_dir)
     table = scores.score_table(analysed)
     bounded = F.lit(True)
     for name in scores.SCORES:
@@ -306,8 +307,8 @@ LEFT JOIN (SELECT site, count(*) FILTER (severity = 'critical') AS n_crit,
 @register("sink_flat_export", "SELECT " + ", ".join(
     f"{_guard(_CELLS[c])} AS {c}" for c in fixed.EXPORT_COLUMNS) + " FROM wide", EXPORT)
 def sink_flat_export(spark, sf_dir):
-    return results.export_rows(frame(spark, sf_dir), businesses(spark, sf_dir),
-                               contact_table(spark, sf_dir))
+    return results.export_rows(stored_sites(spark, sf_dir), businesses(spark, sf_dir),
+                               stored_contacts(spark, sf_dir))
 
 
 # --- reports ---------------------------------------------------------------------------------
@@ -316,14 +317,14 @@ SELECT site, substr(name, 1, 26) AS business, opportunity, security, lead,
   substr(coalesce(primary_email, '-'), 1, 28) AS contact,
   substr(coalesce(top_title, '-'), 1, 34) AS top_opportunity FROM wide WHERE NOT failed""", EXPORT)
 def ranked_summary(spark, sf_dir):
-    return results.scan_summary(frame(spark, sf_dir), businesses(spark, sf_dir))
+    return results.scan_summary(stored_sites(spark, sf_dir), businesses(spark, sf_dir))
 
 
 @register("ranked_summary_totals", """
 SELECT count(*) FILTER (NOT failed) AS analyzed, count(*) AS total,
   CAST(coalesce(sum(n_opp) FILTER (NOT failed), 0) AS BIGINT) AS opportunities FROM wide""", EXPORT)
 def ranked_summary_totals(spark, sf_dir):
-    return results.summary_totals(frame(spark, sf_dir))
+    return results.summary_totals(stored_sites(spark, sf_dir))
 
 
 @register("site_report_rows", """
@@ -336,7 +337,7 @@ UNION ALL SELECT site, 'technologies', rn, name, coalesce(version, '-') || CASE
   THEN ' (outdated)' ELSE '' END FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY
   category, tech_id) AS rn FROM tech_all) WHERE rn <= 20""")
 def site_report_rows(spark, sf_dir):
-    rows = results.site_report(frame(spark, sf_dir), contact_table(spark, sf_dir))
+    rows = results.site_report(stored_sites(spark, sf_dir), stored_contacts(spark, sf_dir))
     return rows.where("section <> 'findings'")
 
 
@@ -346,7 +347,7 @@ SELECT site, name, n_contacts AS contacts, n_tech AS technologies, (SELECT count
 FROM listing l""", ROW)
 def business_detail(spark, sf_dir):
     """Every business with its children as nested columns; counted here."""
-    detail = businesses(spark, sf_dir).join(frame(spark, sf_dir), "site", "left")
+    detail = businesses(spark, sf_dir).join(stored_sites(spark, sf_dir), "site", "left")
     return detail.select(
         "site", "name", F.col("n_contacts").alias("contacts"),
         F.size("technologies").alias("technologies"),
@@ -373,7 +374,7 @@ def rerun_targets(spark, sf_dir):
 SELECT site, 'new' AS version, security FROM scores_B UNION ALL SELECT site, 'old', security
 FROM scores_A WHERE site NOT IN (SELECT site FROM scores_B)""")
 def upsert_result(spark, sf_dir):
-    table = lambda scan, label: scores.score_table(frame(spark, sf_dir, scan)).select(
+    table = lambda scan, label: scores.score_table(stored_sites(spark, sf_dir, scan)).select(
         "site", F.lit(label).alias("version"), "security")
     return results.upsert(table("A", "old"), table("B", "new"))
 
@@ -390,7 +391,7 @@ def cascade_delete(spark, sf_dir):
 
 # --- comparison --------------------------------------------------------------------------------------
 def summaries(spark, sf_dir, scan):
-    return results.scan_summaries(frame(spark, sf_dir, scan))
+    return results.scan_summaries(stored_sites(spark, sf_dir, scan))
 
 
 def _summary_cte(scan: str) -> str:
