@@ -117,7 +117,7 @@ def robots_matches(path: Column, rule: Column) -> Column:
     return (
         F.when(F.coalesce(rule, F.lit("")) == "", F.lit(False))
         .when(rule.endswith("$"), path == F.substring(rule, 1, F.length(rule) - 1))
-        .when(rule.contains("*"), path.rlike(rule_as_pattern(rule)))
+        .when(rule.contains("*"), F.regexp_like(path, rule_as_pattern(rule)))
         .otherwise(path.startswith(rule))
     )
 
