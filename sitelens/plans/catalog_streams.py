@@ -73,7 +73,7 @@ def stream_change(spark, sf_dir):
         F.col("ts").cast("timestamp").alias("captured_at"),
         F.floor("value").cast("int").alias("score"))
     jobs.stream_change(captures, f"{folder}/out", f"{folder}/check")
-    return spark.read.parquet(f"{folder}/out").select(
+    return spark.read.parquet(f"{folder}/out/rows").select(
         "domain", F.unix_micros("captured_at").alias("captured_us"), "before", "after")
 
 

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from sitelens.operators.scores import score_table
 from sitelens.plans.analyze import analyze
@@ -23,6 +22,7 @@ def stream_analyze(pages: DataFrame, sites: DataFrame, out: str, checkpoint: str
 
     The analysis is a pure function of its input, so a batch that is replayed
     writes the same rows; the batch id in the path makes the write idempotent.
+    The pages of one capture are expected to land together.
     """
     def analyse(batch: DataFrame, batch_id: int) -> None:
         touched = sites.join(batch.select("site").distinct(), "site", "left_semi")
@@ -70,32 +70,53 @@ def stream_dedupe(events: DataFrame, keys: list[str], out: str, checkpoint: str,
     return run_to_end(unique.writeStream.format("parquet").option("path", out), checkpoint)
 
 
-CHANGE = "domain string, captured_at timestamp, before int, after int"
-SEEN = "captured_at timestamp, score int"
+def changes(batch: DataFrame, before: DataFrame | None) -> DataFrame:
+    """Score changes of each domain against its previous capture.
 
-
-def _changes(key, batches, state: GroupState):
-    """Score changes of one domain, in capture order; keeps only the last score.
-
-    Batches arrive as Arrow chunks; a chunk is sorted by time, and the state
-    carries the newest capture over to the next one.
+    ``before`` holds the last score per domain from earlier batches. A domain's
+    captures are cut into hours: inside an hour a window finds the previous
+    capture, and the first of an hour takes the last score of the hour before.
+    A domain with most of the rows is thereby spread over its hours.
     """
-    last = state.get if state.exists else (None, None)
-    for chunk in batches:
-        out = []
-        for row in chunk.sort_values("captured_at").itertuples():
-            if last[0] is not None and row.captured_at <= last[0]:
-                continue
-            if last[0] is not None and row.score != last[1]:
-                out.append((key[0], row.captured_at, last[1], int(row.score)))
-            last = (row.captured_at, int(row.score))
-        if out:
-            yield pd.DataFrame(out, columns=["domain", "captured_at", "before", "after"])
-    state.update(last)
+    rows = batch.withColumn("hour", F.date_trunc("hour", "captured_at"))
+    inside = Window.partitionBy("domain", "hour").orderBy("captured_at")
+    paired = rows.withColumn("near", F.lag("score").over(inside))
+    hours = rows.groupBy("domain", "hour").agg(F.max_by("score", "captured_at").alias("closing"))
+    opening = hours.withColumn("earlier", F.lag("closing").over(
+        Window.partitionBy("domain").orderBy("hour"))).drop("closing")
+    joined = paired.join(opening, ["domain", "hour"])
+    carried = F.lit(None).cast("int")
+    if before is not None:
+        joined = joined.join(before.select("domain", F.col("score").alias("carried")), "domain",
+                             "left")
+        carried = F.col("carried")
+    known = joined.withColumn("before", F.coalesce("near", "earlier", carried))
+    return known.where("before <> score").select(
+        "domain", "captured_at", "before", F.col("score").alias("after"))
+
+
+def last_scores(batch: DataFrame, before: DataFrame | None) -> DataFrame:
+    seen = batch.select("domain", "captured_at", "score")
+    if before is not None:
+        seen = seen.unionByName(before)
+    return seen.groupBy("domain").agg(
+        F.max("captured_at").alias("captured_at"), F.max_by("score", "captured_at").alias("score"))
 
 
 def stream_change(captures: DataFrame, out: str, checkpoint: str):
-    """Emit a row whenever a domain's score differs from its previous capture."""
-    changed = captures.groupBy("domain").applyInPandasWithState(
-        _changes, CHANGE, SEEN, "append", GroupStateTimeout.NoTimeout)
-    return run_to_end(changed.writeStream.format("parquet").option("path", out), checkpoint)
+    """Emit a row whenever a domain's score differs from its previous capture.
+
+    The last score per domain is a table next to the output, one version per
+    batch; a replayed batch reads the version before it and writes the same.
+    """
+    def detect(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        try:
+            before = spark.read.parquet(f"{out}/state/batch={batch_id - 1}")
+        except AnalysisException:
+            before = None
+        changes(batch, before).write.mode("overwrite").parquet(f"{out}/rows/batch={batch_id}")
+        last_scores(batch, before).write.mode("overwrite").parquet(
+            f"{out}/state/batch={batch_id}")
+
+    return run_to_end(captures.writeStream.foreachBatch(detect), checkpoint)
