@@ -33,10 +33,17 @@ def _contact(kind, category, value, normalized, rank, pos) -> Column:
     )
 
 
+def _links(html: Column, scheme: str, pattern: str) -> Column:
+    """Link targets after ``scheme``; the pattern runs only where it occurs."""
+    possible = F.contains(F.lower(html), F.lit(scheme))
+    return F.when(possible, all_found(html, pattern, 1)).otherwise(
+        F.array().cast("array<string>"))
+
+
 # --- e-mail -------------------------------------------------------------------------
 def email_candidates(html: Column) -> Column:
     """mailto links first, then everything in the source shaped like an address."""
-    links = F.transform(all_found(html, HREF % "mailto:", 1),
+    links = F.transform(_links(html, "mailto:", HREF % "mailto:"),
                         lambda a: F.trim(unescape(F.substring_index(a, "?", 1))))
     shaped = all_found(html, fixed.EMAIL_PATTERN)
     clean = F.transform(F.concat(links, shaped),
@@ -134,8 +141,9 @@ def normalize_phone(raw: Column, dial_plan: dict | None = None) -> Column:
 
 
 def phone_candidates(html: Column) -> Column:
-    links = all_found(html, r"""(?is)<a\s[^>]*?href\s*=\s*["']\s*tel:([^"']*)""", 1)
-    shaped = all_found(strip_tags(without_hidden(html)), PHONE_TEXT)
+    links = _links(html, "tel:", r"""(?is)<a\s[^>]*?href\s*=\s*["']\s*tel:([^"']*)""")
+    shaped = F.when(html.rlike(r"\+(?:<[^>]*>)*\d"), all_found(
+        strip_tags(without_hidden(html)), PHONE_TEXT)).otherwise(F.array().cast("array<string>"))
     return F.concat(links, shaped)
 
 
@@ -152,6 +160,10 @@ def social_links(html: Column) -> Column:
     """array<struct(category, url)> in network order, share and login links dropped."""
     def links(category: str, pattern: str) -> Column:
         kept = F.filter(all_found(html, pattern), lambda u: ~u.rlike(fixed.SOCIAL_NOISE_PATTERN))
+        host = F.lower(html).contains("x.com/" if category == "twitter" else f"{category}.com/")
+        if category == "twitter":
+            host = host | F.lower(html).contains("twitter.com/")
+        kept = F.when(host, kept).otherwise(F.array().cast("array<string>"))
         return F.transform(kept, lambda u: F.struct(
             F.lit(category).alias("category"), u.alias("url")))
 

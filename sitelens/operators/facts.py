@@ -26,6 +26,8 @@ HOME_TYPE = (
     "bytes:bigint,response_time_ms:int,has_html:boolean,has_viewport:boolean,generator:string>"
 )
 PARTS = ("page", "signals", "contacts")
+# every match of the consent pattern holds one of these
+CONSENT_NEEDLES = ("cookie", "gdpr", "onetrust", "termly", "iubenda", "klaro", "didomi")
 # columns of the rollup, for sites whose pages are not asked for
 ROLLUP = {
     "home": HOME_TYPE, "page_count": "bigint", "total_bytes": "bigint",
@@ -88,7 +90,7 @@ def _page_facts() -> list[Column]:
         _flag("html", has_html),
         _flag("mixed", low.contains("http://") & F.col("html").rlike(fixed.MIXED_CONTENT_PATTERN)),
         _flag("privacy", low.contains("privacy") & low.rlike(fixed.PRIVACY_PATTERN)),
-        _flag("consent", low.rlike(fixed.CONSENT_PATTERN)),
+        _flag("consent", any_contains(low, CONSENT_NEEDLES) & low.rlike(fixed.CONSENT_PATTERN)),
         F.when(generator.isNotNull(), fact("generator", "", 0, 0, text=generator)),
     ]
     for cms, path in fixed.ADMIN_PATHS.items():
