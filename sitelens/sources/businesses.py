@@ -34,11 +34,11 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     Target lists are small uploads (a few MiB), so one file is one task and its
     order is the order of the rows. A byte-order mark is dropped.
     """
-    header = spark.read.text(path).first()[0].lstrip("﻿")
+    header = spark.read.text(path).first()[0].lstrip("\ufeff")
     # the columns are renamed by position, which also drops the mark
     rows = spark.read.options(header=True, sep=sniff_delimiter(header), multiLine=True,
                               enforceSchema=True, escape='"').csv(path).coalesce(1)
-    named = rows.toDF(*[c.lstrip("﻿") for c in rows.columns])
+    named = rows.toDF(*[c.lstrip("\ufeff") for c in rows.columns])
     return named.withColumn("row_no", F.monotonically_increasing_id() + 1)
 
 

@@ -18,6 +18,10 @@ PAGE_COLUMNS = (
     "page_type string"
 )
 PAGE = f"struct<{PAGE_COLUMNS}>"
+COOKIES = (
+    "array<struct<name:string,secure:boolean,http_only:boolean,same_site:string,"
+    "source_url:string>>"
+)
 SNAPSHOT = f"""
 domain string, requested_url string, final_url string, status string, captured_at string,
 http_status int, render_mode string, redirect_chain array<string>, failure_reason string,
@@ -28,8 +32,7 @@ tls struct<protocol:string,cipher:string,issuer:string,subject:string,sans:array
 dns struct<a:array<string>,aaaa:array<string>,mx:array<string>,ns:array<string>,
   txt:array<string>,cname:string,dmarc:string,dkim_selectors:array<string>,dnssec:boolean,
   resolved_ip:string,lookup_failed:array<string>>,
-cookies array<struct<name:string,secure:boolean,http_only:boolean,same_site:string,
-  source_url:string>>,
+cookies {COOKIES},
 robots struct<exists:boolean,disallowed_paths:array<string>,sitemaps:array<string>,
   blocked_us:boolean>,
 timings struct<dns_ms:int,connect_ms:int,ttfb_ms:int,total_ms:int>, duration_ms int,
@@ -74,7 +77,7 @@ def complete_sites(raw: DataFrame) -> DataFrame:
         F.nullif(F.col("failure_reason"), F.lit("")).alias("failure_reason"), "failure_detail",
         F.when(F.col("tls").isNotNull(), tls).alias("tls"),
         F.when(F.col("dns").isNotNull(), dns).alias("dns"),
-        F.coalesce(cookies, F.filter(cookies, lambda c: F.lit(False))).alias("cookies"),
+        F.coalesce(cookies, F.array().cast(COOKIES)).alias("cookies"),
         "robots", F.struct(*map(zero, ("dns_ms", "connect_ms", "ttfb_ms", "total_ms")))
         .alias("timings"),
         F.coalesce("duration_ms", F.lit(0)).alias("duration_ms"),

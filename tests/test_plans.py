@@ -55,7 +55,7 @@ def test_written_table_round_trip(spark):
 
 def test_csv_import(spark, tmp_path):
     path = tmp_path / "targets.csv"
-    path.write_text("﻿Company;Website URL;Town;Country\n"
+    path.write_text("\ufeffCompany;Website URL;Town;Country\n"
                     "Acme;https://www.acme.com/x;York;gbr\n;;;\nBad;not a domain;;\n"
                     "Twin;ACME.com.;;\nBeta;beta.co.uk;;de\n", encoding="utf-8")
     targets, errors = businesses.read_businesses(spark, str(path))
