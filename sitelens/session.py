@@ -35,13 +35,25 @@ def _local_folder() -> str:
     return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
 
 
-def work_folder(spark: SparkSession) -> str:
-    """A fresh folder under the cluster's shared checkpoint folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Where none is set (tests on one machine) a temporary one stands in.
+    On a single machine (``local`` masters, as in tests) a temporary folder
+    stands in where none is set; on a cluster a missing setting is an error,
+    because files in a machine's own folder are lost to the other machines.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or _local_folder()
-    return f"{base.rstrip('/')}/sitelens-{uuid.uuid4().hex}"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return base.rstrip("/")
+    master = spark.conf.get("spark.master", "local")
+    if master == "local" or master.startswith("local["):
+        return _local_folder()
+    raise ValueError("set spark.checkpoint.dir to a folder shared by driver and executors")
+
+
+def work_folder(spark: SparkSession) -> str:
+    """A fresh folder under the cluster's shared checkpoint folder."""
+    return f"{shared_folder(spark)}/sitelens-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
