@@ -28,3 +28,19 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = encode(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
     return coded.select("doc_id", "n_tokens", F.sha2("ids_le32", 256).alias("ids_sha256"),
                         F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
+
+
+@register
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sitelens.llm.quality import assess
+
+    return assess(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+        "kept", F.array_join("reasons", ",").alias("reasons"))
+
+
+@register
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sitelens.llm.secret_scan import digest, scan
+
+    return digest(scan(table(spark, sf_dir, "documents")))
