@@ -44,3 +44,10 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sitelens.llm.secret_scan import digest, scan
 
     return digest(scan(table(spark, sf_dir, "documents")))
+
+
+@register
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sitelens.llm.near_dup import cluster
+
+    return cluster(table(spark, sf_dir, "documents"), width=2)
