@@ -51,3 +51,30 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sitelens.llm.near_dup import cluster
 
     return cluster(table(spark, sf_dir, "documents"), width=2)
+
+
+@register
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sitelens.llm.decontam import contamination
+
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items",
+                        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
+
+
+LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+ORACLES["op2_decontamination"] = rf"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all({LOWER}, '[0-9a-z\x{{80}}-\x{{10FFFF}}]+'), []) AS w FROM documents),
+i AS (SELECT item_id, regexp_extract_all({LOWER}, '[0-9a-z\x{{80}}-\x{{10FFFF}}]+') AS w FROM benchmark),
+iw AS (SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(w[p:p + least(10, len(w)) - 1], ' ') AS g
+       FROM i, unnest(range(1, greatest(len(w) - 8, 2))) AS t(p) WHERE len(w) > 0 AND item_id IS NOT NULL),
+dw AS (SELECT doc_id, p, n, array_to_string(w[p:p + n - 1], ' ') AS g
+       FROM d, (SELECT DISTINCT n FROM iw) AS widths, unnest(range(1, len(w) - n + 2)) AS t(p)),
+m AS (SELECT DISTINCT doc_id, p, n, g FROM dw SEMI JOIN iw USING (n, g)),
+h AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM m, unnest(range(p, p + n)) AS u(q) GROUP BY doc_id),
+f AS (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM m JOIN iw USING (n, g)),
+s AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS ids FROM f GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       coalesce(ids, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN s USING (doc_id)
+"""
