@@ -78,3 +78,14 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
        coalesce(ids, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN s USING (doc_id)
 """
+
+
+@register
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sitelens.llm.language_id import identify
+
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    found = identify(docs, learn_from=~held_out)
+    return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score",
+                        "bits", "rejected")
