@@ -89,3 +89,15 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = identify(docs, learn_from=~held_out)
     return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score",
                         "bits", "rejected")
+
+
+@register
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sitelens.llm.toxicity import REJECT_FROM, fit, score_column
+
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    model = fit(docs, table(spark, sf_dir, "labels"), learn_from=~held_out)
+    scored = docs.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"),
+                         score_column(docs, model, F.col("text")).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= REJECT_FROM).cast("int"))
