@@ -7,12 +7,14 @@
 2. Equal sets collapse into one class before anything is compared (combined
    before the shuffle), so a group of copies costs one member.
 3. Bands of the sketch are bucket keys. In a bucket every class is paired with
-   the bucket's hub only: the pairs are fewer than the members. One order of hubs
-   holds for all bands, so that a group meets the same few hubs everywhere.
+   the bucket's hub only: the pairs are fewer than the members. The hub is the
+   class that meets the most others, so a group meets the same few everywhere.
 4. Pairs are verified on the full sets, and linked classes form components.
 5. What the stars may have missed are links between two classes of one bucket
-   that are in different components. Those pairs, and no others, are verified
-   in a second round, and the components are drawn again.
+   that are in different components. Of those pairs the ones are verified whose
+   shingles known outside their own component are enough for the similarity, an
+   exact bound that spares the members of a group which are only a little too far
+   apart; then the components are drawn again.
 
 A pair at the threshold shares no band with a probability of about 5e-8
 (32 bands of 4 rows). Sets hold 64-bit hashes of shingles.
@@ -156,14 +158,36 @@ def shingle_sets(texts: DataFrame, width: int) -> DataFrame:
     return texts.mapInArrow(run, "class binary, shingles array<bigint>")
 
 
-def star_members(classes: DataFrame) -> DataFrame:
-    """(bucket, class, n, hub, hub_n) for the classes that share a bucket with another."""
+def meetings(classes: DataFrame) -> DataFrame:
+    """(bucket, class, n) for the classes that share a bucket with another."""
     rows = classes.select(F.explode("bands").alias("bucket"), "class", F.col("n_shingles").alias("n"))
-    order = Window.partitionBy("bucket").orderBy(F.xxhash64("class"), "class")
-    return rows.select(
-        "bucket", "class", "n", F.first("class").over(order).alias("hub"), F.first("n").over(order).alias("hub_n"),
-        F.lead("class").over(order).isNotNull().alias("more"),
-    ).filter((F.col("class") != F.col("hub")) | F.col("more")).drop("more")
+    order = Window.partitionBy("bucket").orderBy("class")
+    beside = F.lead("class").over(order).isNotNull() | F.lag("class").over(order).isNotNull()
+    return rows.withColumn("beside", beside).filter("beside").drop("beside")
+
+
+def star_members(met: DataFrame) -> DataFrame:
+    """(bucket, class, n, hub, hub_n): the hub is the class that meets the most others over all its buckets.
+
+    In a group of copies that is the text they were made from, or one close to it.
+    """
+    sizes = met.groupBy("bucket").agg(F.count("*").alias("size"))
+    score = met.join(sizes, "bucket").groupBy("class").agg(F.sum("size").alias("score"))
+    order = Window.partitionBy("bucket").orderBy(F.desc("score"), "class")
+    return met.join(score, "class").select(
+        "bucket", "class", "n", F.first("class").over(order).alias("hub"), F.first("n").over(order).alias("hub_n"))
+
+
+def shared_shingles(rest: DataFrame, sets: DataFrame) -> DataFrame:
+    """(class, shared): how many shingles of a class occur in a class of another component.
+
+    Classes of different components cannot have more shingles in common than the
+    smaller of these numbers.
+    """
+    roots = rest.select("class", "root").distinct()
+    each = sets.join(roots, "class").select("class", "root", F.explode("shingles").alias("shingle"))
+    wide = each.groupBy("shingle").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b")
+    return each.join(wide.select("shingle"), "shingle", "left_semi").groupBy("class").agg(F.count("*").alias("shared"))
 
 
 def candidate(pairs: DataFrame, percent: int) -> DataFrame:
@@ -189,7 +213,7 @@ def cluster(docs: DataFrame, width: int, percent: int = SIMILARITY_PERCENT,
     named = drawn.filter(F.col("class").isNotNull() & F.col("doc_id").isNotNull())
     classes = named.groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"),
                                          F.first("bands").alias("bands"))
-    members = written(star_members(classes), "members")
+    members = written(star_members(written(meetings(classes), "meetings")), "members")
     # the texts of the classes that met another one: their first rows
     met = members.select("class").distinct().join(named.groupBy("class").agg(F.min("doc_id").alias("doc_id")), "class")
     texts = rows.join(met, "doc_id").select("class", "text")
@@ -202,8 +226,13 @@ def cluster(docs: DataFrame, width: int, percent: int = SIMILARITY_PERCENT,
     apart = written(placed.join(mixed.select("bucket"), "bucket", "left_semi"), "apart")
     # of two classes of one bucket neither is the hub here: those pairs are verified already
     rest = apart.filter("class <> hub").select("bucket", "class", "n", "root")
-    other = rest.select("bucket", F.col("class").alias("hub"), F.col("n").alias("hub_n"), F.col("root").alias("hub_root"))
-    missed = rest.join(other, "bucket").filter((F.col("root") != F.col("hub_root")) & (F.col("class") < F.col("hub")))
+    rest = written(rest.join(shared_shingles(rest, sets), "class").filter(
+        100 * F.col("shared") >= percent * F.col("n")), "rest")
+    other = rest.select("bucket", *[F.col(c).alias(f"hub_{c}") for c in ("n", "root", "shared")], F.col("class").alias("hub"))
+    most = F.least("shared", "hub_shared")
+    missed = rest.join(other, "bucket").filter(
+        (F.col("root") != F.col("hub_root")) & (F.col("class") < F.col("hub"))
+        & (100 * most >= percent * (F.col("n") + F.col("hub_n") - most)))
     more = written(verified(candidate(missed, percent), sets, percent), "more_links")
     joined = first
     if not more.isEmpty():
