@@ -101,3 +101,11 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = docs.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"),
                          score_column(docs, model, F.col("text")).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= REJECT_FROM).cast("int"))
+
+
+@register
+def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sitelens.llm.line_dedup import line_report
+
+    found = line_report(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("clean", F.lit("")), 256).alias("text_sha256"))
