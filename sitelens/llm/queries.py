@@ -120,3 +120,11 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
+
+
+@register
+def op9_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sitelens.llm.suffix_dedup import deduplicate
+
+    found = deduplicate(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
