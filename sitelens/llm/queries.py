@@ -128,3 +128,10 @@ def op9_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = deduplicate(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@register
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sitelens.llm.license_scan import per_document
+
+    return per_document(table(spark, sf_dir, "documents"))
