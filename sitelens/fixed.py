@@ -33,7 +33,6 @@ CERT_EXPIRY_WARN_DAYS = 30
 CERT_CRITICAL_DAYS = 7
 LARGE_PAGE_BYTES = 3 * 1024 * 1024
 MAX_PAGES_PER_SITE = 8
-PARKED_MAX_CHARS = 4000
 
 # --- patterns over page source ------------------------------------------------
 GENERATOR_PATTERN = (
@@ -53,6 +52,8 @@ DMARC_POLICY_PATTERN = r"(?i)\bp\s*=\s*(none|quarantine|reject)\b"
 SPF_ALL_PATTERN = r"(?i)([+\-~?])all\b"
 VERSION_PATTERN = r"^[vV]?(\d+(?:\.\d+)*)(?:[-+._]?(.*))?$"
 NUMBER_PATTERN = r"\d+(?:[.,]\d+)*"
+# the same matches in time linear in the text: a run of name signs is entered once and not given back
+EMAIL_SCAN_PATTERN = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}"
 EMAIL_PATTERN = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}"
 ASSET_NAME_PATTERN = r"\.(png|jpe?g|gif|svg|webp|css|js|woff2?)$"
 PERSONAL_LOCAL_PATTERN = r"^[a-z]{1,20}[._\-][a-z]{2,20}$"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sitelens.fixed import PARKED_MARKERS, PARKED_MAX_CHARS
+from sitelens.fixed import PARKED_MARKERS
 from sitelens.functions.columns import any_contains, let
 
 INVISIBLE = (
@@ -86,9 +86,11 @@ def page_classify(url: Column) -> Column:
     )
 
 
-def is_parked(page_text: Column) -> Column:
+def is_parked(page_text: Column, max_chars: int | None = None) -> Column:
+    """Whether a page says so; ``max_chars`` exempts longer texts, by default none."""
     low = F.lower(page_text)
-    return (F.length(low) <= PARKED_MAX_CHARS) & any_contains(low, PARKED_MARKERS)
+    said = any_contains(low, PARKED_MARKERS)
+    return said if max_chars is None else (F.length(low) <= max_chars) & said
 
 
 def content_hash(body: Column) -> Column:

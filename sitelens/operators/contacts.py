@@ -45,7 +45,7 @@ def email_candidates(html: Column) -> Column:
     """mailto links first, then everything in the source shaped like an address."""
     links = F.transform(_links(html, "mailto:", HREF % "mailto:"),
                         lambda a: F.trim(unescape(F.substring_index(a, "?", 1))))
-    shaped = all_found(html, fixed.EMAIL_PATTERN)
+    shaped = all_found(html, fixed.EMAIL_SCAN_PATTERN)
     clean = F.transform(F.concat(links, shaped),
                         lambda a: F.lower(F.btrim(F.trim(a), F.lit(".,;:"))))
     return F.filter(clean, lambda a: a.rlike(f"^(?:{fixed.EMAIL_PATTERN})$"))
@@ -219,7 +219,7 @@ def postal_address(html: Column) -> Column:
                                         ("<address", ADDRESS_OPEN, 35))])
 
     return first_where(let(without_hidden(html), read),
-                       lambda a: F.length(a["text"]).between(10, 300))
+                       lambda a: F.length(a["text"]) >= 10)
 
 
 def _forms() -> Column:

@@ -72,7 +72,7 @@ def crawl_outcome(usable: Column, blocked: Column, robots_denied: Column, home_s
 # --- addresses ------------------------------------------------------------------------------
 def ipv4_number(ip: Column) -> Column:
     """Address as a number; NULL when the text is no dotted quad."""
-    part = lambda n: F.regexp_extract(ip, r"^(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})$", n)
+    part = lambda n: F.regexp_extract(ip, r"^(0|[1-9]\d{0,2})\.(0|[1-9]\d{0,2})\.(0|[1-9]\d{0,2})\.(0|[1-9]\d{0,2})$", n)
     octets = [part(n).try_cast("bigint") for n in (1, 2, 3, 4)]
     valid = octets[0] <= 255
     for octet in octets[1:]:
@@ -81,6 +81,20 @@ def ipv4_number(ip: Column) -> Column:
     return F.when(valid, number)
 
 
+def ipv6_digits(ip: Column) -> Column:
+    """The 32 hexadecimal digits of an IPv6 address; null for what does not parse."""
+    low = F.lower(ip)
+    sides = F.split(low, "::", -1)
+    groups = lambda side: F.filter(F.split(side, ":", -1), lambda g: side != "")
+    head, tail = groups(F.get(sides, F.lit(0))), F.when(F.size(sides) == 2, groups(F.get(sides, F.lit(1)))).otherwise(
+        F.array().cast("array<string>"))
+    given = F.size(head) + F.size(tail)
+    fits = F.when(F.size(sides) == 2, given <= 7).otherwise((F.size(sides) == 1) & (given == 8))
+    proper = F.forall(F.concat(head, tail), lambda g: g.rlike("^[0-9a-f]{1,4}$"))
+    filled = F.concat(head, F.array_repeat(F.lit("0"), F.greatest(8 - given, F.lit(0))), tail)
+    return F.when(low.contains(":") & fits & proper, F.array_join(F.transform(filled, lambda g: F.lpad(g, 4, "0")), ""))
+
+
 def is_public_address(ip: Column) -> Column:
     """False for the blocked ranges and for anything that is no address."""
     number = ipv4_number(ip)
@@ -88,15 +102,12 @@ def is_public_address(ip: Column) -> Column:
     for block in fixed.BLOCKED_IPV4:
         net = ipaddress.ip_network(block)
         blocked = blocked | number.between(int(net[0]), int(net[-1]))
-    low = F.lower(ip)
-    six = low.rlike(r"^[0-9a-f:]*:[0-9a-f:]*$") & low.rlike("[0-9a-f]|::")
-    # first sixteen bits decide fc00::/7, fe80::/10 and ff00::/8
-    head = F.conv(F.nullif(F.regexp_extract(low, r"^([0-9a-f]{1,4}):", 1), F.lit("")), 16, 10)
-    lead = F.coalesce(head.try_cast("int"), F.lit(0))
-    loopback = low.rlike(r"^(?:0{1,4}:){0,7}:?(?::?0{1,4}:)*:?0{0,3}1$") & (lead == 0)
-    six_blocked = loopback | lead.between(0xFC00, 0xFDFF) | lead.between(0xFE80, 0xFEBF) | (
-        lead >= 0xFF00)
-    return F.when(number.isNotNull(), ~blocked).when(six, ~six_blocked).otherwise(False)
+    digits, six_blocked = ipv6_digits(ip), F.lit(False)
+    for block in fixed.BLOCKED_IPV6:
+        net = ipaddress.ip_network(block)
+        first, last = (f"{int(end):032x}" for end in (net[0], net[-1]))
+        six_blocked = six_blocked | digits.between(first, last)
+    return F.when(number.isNotNull(), ~blocked).when(digits.isNotNull(), ~six_blocked).otherwise(False)
 
 
 def allowed_port(url: Column) -> Column:

@@ -131,7 +131,7 @@ def _signal_facts(fingerprints) -> list[Column]:
         test = source.rlike(pattern)
         if signal.type != "url" and signal.needles:
             test = any_contains(F.col("low"), signal.needles) & test
-        facts.append(F.when(test, fact("signal", key, 0, 0, text=F.substring(text, 1, 200),
+        facts.append(F.when(test, fact("signal", key, 0, 0, text=text,
                                        extra=version)))
     return facts
 

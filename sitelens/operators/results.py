@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitelens import fixed
 from sitelens.functions.clock import iso_z
-from sitelens.functions.columns import top_rows
 from sitelens.operators import checks
 from sitelens.operators.scores import SCORES
 
@@ -32,7 +31,7 @@ def result_rows(frame: DataFrame, businesses: DataFrame) -> DataFrame:
         businesses["business_status"], "primary_email", "primary_phone",
         F.coalesce("n_contacts", F.lit(0)).alias("contact_count"),
         *[F.col(f"scores.{s}.total").alias(f"{s}_score") for s in SCORES],
-        F.transform(F.slice("technologies", 1, 5), lambda t: t["name"]).alias("top_technologies"),
+        F.transform("technologies", lambda t: t["name"]).alias("top_technologies"),
         F.coalesce(F.size("opportunities"), F.lit(0)).alias("opportunity_count"),
         top["rule_id"].alias("top_rule"), top["title"].alias("top_title"),
         severity_count("critical", fixed.PROBLEM_STATUSES).alias("critical_findings"),
@@ -186,17 +185,17 @@ def write_export(rows: DataFrame, path: str) -> None:
 
 # --- reports -------------------------------------------------------------------------------
 def scan_summary(frame: DataFrame, businesses: DataFrame) -> DataFrame:
-    """Successful sites by opportunity score, cut to the report's widths."""
+    """Successful sites by opportunity score."""
     rows = businesses.join(frame, "site").where(result_ok(F.col("status")))
-    dash = lambda c, n: F.substring(F.coalesce(c, F.lit("-")), 1, n)
+    dash = lambda c: F.coalesce(c, F.lit("-"))
     title = F.get(F.transform("opportunities", lambda o: o["title"]), F.lit(0))
     return rows.select(
-        "site", dash(F.col("name"), 26).alias("business"),
+        "site", dash(F.col("name")).alias("business"),
         F.col("scores.opportunity.total").alias("opportunity"),
         F.col("scores.security.total").alias("security"),
         F.col("scores.lead.total").alias("lead"),
-        dash(F.col("primary_email"), 28).alias("contact"),
-        dash(title, 34).alias("top_opportunity"),
+        dash(F.col("primary_email")).alias("contact"),
+        dash(title).alias("top_opportunity"),
     ).orderBy(F.col("opportunity").desc(), "site")
 
 
@@ -218,24 +217,24 @@ def site_report(frame: DataFrame, contacts: DataFrame) -> DataFrame:
             label(F.col("x")).alias("label"), detail(F.col("x")).alias("detail"))
 
     def proof(f: Column) -> Column:
-        scalars = F.filter(F.slice(F.map_entries(f["evidence"]), 1, 6),
+        scalars = F.filter(F.map_entries(f["evidence"]),
                            lambda e: ~e["key"].isin(*checks.LIST_EVIDENCE))
         return F.array_join(F.array_sort(F.transform(
             scalars, lambda e: F.concat(e["key"], F.lit(": "), e["value"]))), "; ")
 
     version = lambda t: F.concat(F.coalesce(t["version"], F.lit("-")), F.when(
         t["is_outdated"], " (outdated)").otherwise(""))
-    listed = top_rows(contacts, ["site"], [F.col("kind"), F.col("rank"),
-                                           F.col("normalized_value")], 12, "position")
+    order = Window.partitionBy("site").orderBy("kind", "rank", "normalized_value")
+    listed = contacts.withColumn("position", F.row_number().over(order))
     named = listed.join(ok.select("site"), "site", "left_semi").select(
         "site", F.lit("contacts").alias("section"), "position",
-        F.col("category").alias("label"), F.substring("value", 1, 48).alias("detail"))
+        F.col("category").alias("label"), F.col("value").alias("detail"))
     problems = F.filter("findings", lambda f: f["status"].isin(*fixed.PROBLEM_STATUSES))
     return (
         section("opportunities", F.col("opportunities"), lambda o: o["urgency"],
                 lambda o: o["title"])
         .unionByName(named)
-        .unionByName(section("technologies", F.slice("technologies", 1, 20),
+        .unionByName(section("technologies", F.col("technologies"),
                              lambda t: t["name"], version))
         .unionByName(section("findings", problems, lambda f: f["check_id"], proof))
     )

@@ -30,7 +30,7 @@ def _hit(tech_id, number, signal, text: Column, version: Column) -> Column:
         F.lit(signal.type).alias("type"),
         F.lit(signal.confidence).alias("confidence"),
         F.lit(fixed.CONFIDENCE_WEIGHT[signal.confidence]).alias("weight"),
-        F.substring(text, 1, 200).alias("text"),
+        text.alias("text"),
         version.cast("string").alias("version"),
     ).cast(HIT)
 

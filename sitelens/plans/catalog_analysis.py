@@ -418,7 +418,7 @@ SELECT doc_id, 'email' AS kind, lower(trim(unnest(regexp_extract_all(text,
 def text_contacts(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return docs.select("doc_id", F.lit("email").alias("kind"), F.explode(F.transform(
-        all_found(F.col("text"), fixed.EMAIL_PATTERN),
+        all_found(F.col("text"), fixed.EMAIL_SCAN_PATTERN),
         lambda a: F.lower(F.btrim(a, F.lit(".,;:"))))).alias("value"))
 
 

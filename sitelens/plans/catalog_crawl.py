@@ -108,13 +108,15 @@ def robots_blocked(spark, sf_dir):
         "site", crawlplan.robots_blocked().alias("blocked"))
 
 
-IP = """CASE c_custkey % 9 WHEN 0 THEN '10.1.2.' WHEN 1 THEN '93.184.216.' WHEN 2 THEN '172.20.9.'
+IP = """CASE c_custkey % 16 WHEN 0 THEN '10.1.2.' WHEN 1 THEN '93.184.216.' WHEN 2 THEN '172.20.9.'
   WHEN 3 THEN '172.32.0.' WHEN 4 THEN '100.100.1.' WHEN 5 THEN '8.8.8.' WHEN 6 THEN '300.1.1.'
-  WHEN 7 THEN 'fe80::' ELSE '2606:2800::' END || CAST(c_custkey % 200 AS VARCHAR(20))"""
+  WHEN 7 THEN 'fe80::' WHEN 8 THEN '2606:2800::' WHEN 9 THEN '1:' WHEN 10 THEN ':::'
+  WHEN 11 THEN '12345::' WHEN 12 THEN '1:2:3:4:5:6:7:8:' WHEN 13 THEN '08.8.8.' WHEN 14 THEN '2001:db8:0:0:1:2:3:'
+  ELSE '1::2::' END || CAST(c_custkey % 200 AS VARCHAR(20))"""
 
 
 @register("public_address_filter", f"""
-SELECT c_custkey, {IP} AS ip, c_custkey % 9 IN (1, 3, 5, 8) AS public, c_custkey % 3 <> 0 AS
+SELECT c_custkey, {IP} AS ip, c_custkey % 16 IN (1, 3, 5, 8, 14) AS public, c_custkey % 3 <> 0 AS
   port_ok FROM customer""")
 def public_address_filter(spark, sf_dir):
     url = F.concat(F.lit("https://h.test"), F.expr(

@@ -49,7 +49,7 @@ def listing(spark, sf_dir):
 
 @register("result_row", """
 SELECT site, scan_id, name, primary_email, n_contacts AS contact_count, opportunity AS
-  opportunity_score, array_to_string(tech_names[1:5], ',') AS top_technologies,
+  opportunity_score, array_to_string(tech_names, ',') AS top_technologies,
   coalesce(n_opp, 0) AS opportunity_count, top_rule, coalesce(critical_findings, 0) AS
   critical_findings, coalesce(high_findings, 0) AS high_findings FROM (SELECT * REPLACE
   (coalesce(tech_names, []::VARCHAR[]) AS tech_names) FROM listing)""", ROW)
@@ -313,9 +313,9 @@ def sink_flat_export(spark, sf_dir):
 
 # --- reports ---------------------------------------------------------------------------------
 @register("ranked_summary", """
-SELECT site, substr(name, 1, 26) AS business, opportunity, security, lead,
-  substr(coalesce(primary_email, '-'), 1, 28) AS contact,
-  substr(coalesce(top_title, '-'), 1, 34) AS top_opportunity FROM wide WHERE NOT failed""", EXPORT)
+SELECT site, name AS business, opportunity, security, lead,
+  coalesce(primary_email, '-') AS contact,
+  coalesce(top_title, '-') AS top_opportunity FROM wide WHERE NOT failed""", EXPORT)
 def ranked_summary(spark, sf_dir):
     return results.scan_summary(stored_sites(spark, sf_dir), businesses(spark, sf_dir))
 
@@ -331,11 +331,11 @@ def ranked_summary_totals(spark, sf_dir):
 SELECT site, 'opportunities' AS section, row_number() OVER (PARTITION BY site ORDER BY urank,
   rule_id) AS position, urgency AS label, title AS detail FROM opp_all JOIN sr_all USING (site)
   WHERE NOT failed
-UNION ALL SELECT site, 'contacts', rn, category, substr(value, 1, 48) FROM (SELECT *, row_number()
-  OVER (PARTITION BY site ORDER BY kind, rank, normalized_value) AS rn FROM con_all) WHERE rn <= 12
+UNION ALL SELECT site, 'contacts', rn, category, value FROM (SELECT *, row_number()
+  OVER (PARTITION BY site ORDER BY kind, rank, normalized_value) AS rn FROM con_all)
 UNION ALL SELECT site, 'technologies', rn, name, coalesce(version, '-') || CASE WHEN is_outdated
   THEN ' (outdated)' ELSE '' END FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY
-  category, tech_id) AS rn FROM tech_all) WHERE rn <= 20""")
+  category, tech_id) AS rn FROM tech_all)""")
 def site_report_rows(spark, sf_dir):
     rows = results.site_report(stored_sites(spark, sf_dir), stored_contacts(spark, sf_dir))
     return rows.where("section <> 'findings'")

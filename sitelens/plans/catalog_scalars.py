@@ -318,7 +318,7 @@ def visible_text(spark, sf_dir):
 PARKING = "CASE WHEN doc_id % 4 = 0 THEN text || ' This Domain is for SALE' ELSE text END"
 
 
-@register("parked_domain", f"SELECT doc_id, length({PARKING}) <= 4000 AND (" + " OR ".join(
+@register("parked_domain", f"SELECT doc_id, (" + " OR ".join(
     f"contains(lower({PARKING}), '{m}')" for m in fixed.PARKED_MARKERS) + ") AS parked "
     "FROM documents")
 def parked_domain(spark, sf_dir):

@@ -216,7 +216,7 @@ def _findings() -> str:
     perf("PERF-04", ("home_viewport", "pass", "info", "''"),
          (None, "fail", "high", ev(url="home_url", checked_at=now)))
 
-    names25 = "to_json(coalesce(tech_names, []::VARCHAR[])[1:25])"
+    names25 = "to_json(coalesce(tech_names, []::VARCHAR[]))"
     out.append(check("TECH-01", "technologies", "technology", na("page_count = 0"),
                      (None, "info", "info", ev(count="n_tech", technologies=names25)))
                .replace("FROM sr§", "FROM st§"))
@@ -307,7 +307,7 @@ def _contacts() -> str:
             "CASE WHEN html LIKE '%PostalAddress%' THEN regexp_extract(html, "
             "'(?s)PostalAddress\">(.*?)</div>', 1) ELSE regexp_extract(html, "
             "'(?s)<address>(.*?)</address>', 1) END") + " AS v FROM pg§) "
-        "WHERE length(v) BETWEEN 10 AND 300")
+        "WHERE length(v) >= 10")
     return "\nUNION ALL ".join((emails, phones, socials, forms, addresses))
 
 
@@ -489,7 +489,7 @@ def chain(scan: str) -> dict[str, str]:
         "rules": _rules_values(),
         "latest_known": _latest_values(),
         "hit§": "SELECT site, tech_id, name, category, signal_no, type, confidence, weight, "
-                "substr(arg_min(txt, page_no), 1, 200) AS text, arg_min(ver, page_no) AS version "
+                "arg_min(txt, page_no) AS text, arg_min(ver, page_no) AS version "
                 "FROM (SELECT site, page_no, r.*, regexp_extract(html, pattern, 0) AS txt, "
                 "CASE WHEN version_group = 1 THEN nullif(regexp_extract(html, pattern, 1), '') END "
                 "AS ver FROM pg§ JOIN rules r ON r.type = 'html' AND "

@@ -82,7 +82,7 @@ def business_dedupe(valid: DataFrame, limit: int | None = None) -> DataFrame:
     return flat if limit is None else flat.orderBy("row_no").limit(limit)
 
 
-def read_businesses(spark: SparkSession, path: str, limit: int = 500,
+def read_businesses(spark: SparkSession, path: str, limit: int | None = None,
                     suffixes=fixed.DEFAULT_SUFFIXES) -> tuple[DataFrame, DataFrame]:
     """(businesses, row errors) of a CSV target list."""
     valid, errors = split_rows(judge_rows(read_csv(spark, path), suffixes))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -111,10 +110,8 @@ def stream_change(captures: DataFrame, out: str, checkpoint: str):
     """
     def detect(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        try:
-            before = spark.read.parquet(f"{out}/state/batch={batch_id - 1}")
-        except AnalysisException:
-            before = None
+        # only the first batch may start without state: a lost state is an error, not a new start
+        before = spark.read.parquet(f"{out}/state/batch={batch_id - 1}") if batch_id else None
         changes(batch, before).write.mode("overwrite").parquet(f"{out}/rows/batch={batch_id}")
         last_scores(batch, before).write.mode("overwrite").parquet(
             f"{out}/state/batch={batch_id}")

@@ -1,9 +1,13 @@
 """Contacts, technologies, opportunities and scores on small fixtures."""
 
+import re
+import time
+
 import pytest
 from conftest import PAGES, SITES, dns, page, site, tls
 from pyspark.sql import functions as F
 
+from sitelens import fixed
 from sitelens.operators import contacts, facts, opportunities, scores, technologies
 from sitelens.plans.analyze import analyze, choose
 from sitelens.rules import Fingerprint, Signal
@@ -119,3 +123,51 @@ def test_partition_count_does_not_matter(spark):
                            .alias("s")).first()
         results.append(tuple(row))
     assert len(set(results)) == 1 and results[0][0] == "https://acme.com/1"
+
+
+def test_long_token_does_not_slow_down_the_mail_pattern(spark):
+    from sitelens.functions.columns import all_found
+
+    texts = [("x" * 1_000_000 + " a.b@acme.com ",), ("@" * 5000,), ("a@b.c@d.ef.gh, <me+you@mail.example.org>",)]
+    rows = spark.createDataFrame(texts, "t string").select(
+        all_found(F.col("t"), fixed.EMAIL_SCAN_PATTERN).alias("quick"), F.length("t").alias("n"))
+    started = time.perf_counter()
+    quick = {r.n: list(r.quick) for r in rows.collect()}
+    assert time.perf_counter() - started < 30
+    for (text,) in texts[1:]:
+        assert quick[len(text)] == re.findall(fixed.EMAIL_PATTERN, text)
+    assert quick[len(texts[0][0])] == ["a.b@acme.com"]
+
+
+def test_addresses_that_do_not_parse_are_not_public(spark):
+    from sitelens.operators.crawlplan import is_public_address
+
+    odd = ["1:2", ":::", "12345::1", "1:2:3:4:5:6:7:8:9", "08.8.8.8", "1::2::3", "::1", "0:0:0:0:0:0:0:1", "fe80::1", "fd00::",
+           "ff02::1", "::g", "", None, "1.2.3", "10.0.0.1", "1:2:3:4:5:6:7::8:9"]
+    good = ["2606:2800::1", "8.8.8.8", "1:2:3:4:5:6:7:8", "2001:DB8::", "::2"]
+    rows = spark.createDataFrame([(a,) for a in odd + good], "a string").select("a", is_public_address(F.col("a")).alias("p"))
+    assert {r.a for r in rows.collect() if r.p} == set(good)
+
+
+def test_import_reads_all_rows_by_default():
+    import inspect
+
+    from sitelens.sources.businesses import read_businesses
+
+    assert inspect.signature(read_businesses).parameters["limit"].default is None
+
+
+def test_work_folder_must_be_shared(monkeypatch):
+    from sitelens import session
+
+    class Conf(dict):
+        def get(self, key, default=None):
+            return dict.get(self, key, default)
+
+    class Cluster:
+        conf = Conf({"spark.master": "spark://host:7077"})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.work_folder(Cluster())
+    Cluster.conf["spark.checkpoint.dir"] = "/shared/"
+    assert session.work_folder(Cluster()).startswith("/shared/sitelens-")
