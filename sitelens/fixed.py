@@ -93,12 +93,13 @@ FREEMAIL_DOMAINS = (
     "mail.com", "yandex.com", "zoho.com",
 )
 ROLE_CATEGORIES = {
-    "general": ("info", "hello", "contact", "enquiries", "inquiries", "office", "admin", "mail"),
-    "sales": ("sales", "business", "partnerships"),
-    "support": ("support", "help", "service", "helpdesk"),
-    "careers": ("careers", "jobs", "hr", "recruitment"),
-    "security": ("security", "abuse", "privacy"),
-    "billing": ("billing", "accounts", "invoices"),
+    "info": "general", "hello": "general", "contact": "general", "enquiries": "general",
+    "inquiries": "general", "office": "general", "admin": "general", "mail": "general",
+    "sales": "sales", "business": "sales", "partnerships": "sales", "support": "support",
+    "help": "support", "service": "support", "helpdesk": "support", "careers": "careers",
+    "jobs": "careers", "hr": "careers", "recruitment": "careers", "security": "security",
+    "abuse": "security", "privacy": "security", "billing": "billing", "accounts": "billing",
+    "invoices": "billing",
 }
 CATEGORY_RANK = {
     "general": 10, "sales": 20, "support": 30, "billing": 50, "security": 60,

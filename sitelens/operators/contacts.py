@@ -17,7 +17,6 @@ FORM_INPUT = r"(?is)<(?:input|textarea)\b[^>]*>"
 POSTAL_OPEN = r"""(?is)<([A-Za-z][A-Za-z0-9]*)\b[^>]*itemtype\s*=\s*["'][^"']*PostalAddress[^>]*>"""
 ADDRESS_OPEN = r"(?is)<(address)\b[^>]*>"
 PHONE_TEXT = r"\+\d[\d ().\x{00A0}/-]{5,24}\d"
-ROLE_OF = {word: cat for cat, words in fixed.ROLE_CATEGORIES.items() for word in words}
 
 
 def _none() -> Column:
@@ -71,7 +70,7 @@ def is_business_email(address: Column, owner: Column,
                       placeholders=fixed.PLACEHOLDER_DOMAINS) -> Column:
     """``owner`` is the registrable domain behind the address."""
     personal = email_local(address).rlike(fixed.PERSONAL_LOCAL_PATTERN)
-    role = email_head(address).isin(*ROLE_OF)
+    role = email_head(address).isin(*fixed.ROLE_CATEGORIES)
     return (
         owner.isNotNull()
         & ~owner.isin(*placeholders) & ~email_domain(address).isin(*placeholders)
@@ -88,7 +87,7 @@ def belongs_to(owner: Column, site: Column) -> Column:
 
 
 def email_category(address: Column) -> Column:
-    return F.coalesce(F.element_at(literal_map(ROLE_OF), email_head(address)), F.lit("other"))
+    return F.coalesce(F.element_at(literal_map(fixed.ROLE_CATEGORIES), email_head(address)), F.lit("other"))
 
 
 def email_rank(category: Column) -> Column:

@@ -285,8 +285,8 @@ def version_key(version: str) -> str:
 
 def _contacts() -> str:
     mails_cat = "CASE " + " ".join(
-        f"WHEN head IN {inlist(words)} THEN {q(cat)}"
-        for cat, words in fixed.ROLE_CATEGORIES.items()) + " ELSE 'other' END"
+        f"WHEN head = {q(word)} THEN {q(cat)}"
+        for word, cat in fixed.ROLE_CATEGORIES.items()) + " ELSE 'other' END"
     rank = "CASE cat " + " ".join(
         f"WHEN {q(c)} THEN {r}" for c, r in fixed.CATEGORY_RANK.items()) + " END"
     emails = (
@@ -552,7 +552,7 @@ def chain(scan: str) -> dict[str, str]:
                    f"AND owner NOT IN {inlist(fixed.FREEMAIL_DOMAINS)} "
                    f"AND NOT regexp_matches(a, {q(fixed.ASSET_NAME_PATTERN)}) AND NOT "
                    f"(regexp_matches(loc, {q(fixed.PERSONAL_LOCAL_PATTERN)}) AND head NOT IN "
-                   f"{inlist([w for ws in fixed.ROLE_CATEGORIES.values() for w in ws])}) "
+                   f"{inlist(fixed.ROLE_CATEGORIES)}) "
                    "THEN true ELSE false END AS business, coalesce(owner = site OR "
                    "split_part(owner, '.', 1) = split_part(site, '.', 1), false) AS own FROM mail2§",
         "phone1§": "SELECT site, page_no, final_url, unnest(list_concat(regexp_extract_all(html, "
