@@ -81,12 +81,13 @@ def stream_change(spark, sf_dir):
                             "JOIN (SELECT DISTINCT site FROM pg_all) USING (site)")
 def stream_analyze(spark, sf_dir):
     folder = work_folder(spark)
-    landed = written(captured_pages(spark, sf_dir), "landed")
+    # dealt by page, so that the pages of a site land in both files, one batch each
+    landed = written(captured_pages(spark, sf_dir).repartition(2, "page_no"), "landed")
     source = landed.inputFiles()[0].rsplit("/", 1)[0]
-    pages = spark.readStream.schema(landed.schema).parquet(source)
+    pages = spark.readStream.schema(landed.schema).option("maxFilesPerTrigger", 1).parquet(source)
     sites = captured_sites(spark, sf_dir)
     jobs.stream_analyze(pages, sites, f"{folder}/out", f"{folder}/check", suffixes=SUFFIXES)
-    return spark.read.option("recursiveFileLookup", "true").parquet(f"{folder}/out")
+    return jobs.latest(spark, f"{folder}/out/scores", ["site"])
 
 
 # --- the analyzer surface ------------------------------------------------------------------

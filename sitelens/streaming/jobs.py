@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sitelens import fixed
+from sitelens.operators import facts
 from sitelens.operators.scores import score_table
 from sitelens.plans.analyze import analyze
+from sitelens.rules import FINGERPRINTS
 
 
 def run_to_end(query_writer, checkpoint: str):
@@ -16,17 +19,37 @@ def run_to_end(query_writer, checkpoint: str):
     return query
 
 
-def stream_analyze(pages: DataFrame, sites: DataFrame, out: str, checkpoint: str, **options):
+def merged_facts(parts: DataFrame) -> DataFrame:
+    """First facts of several batches as those of all their pages together."""
+    return parts.groupBy("site", "fact", "key").agg(
+        F.min_by("body", "ord").alias("body"), F.min("ord").alias("ord"), F.sum("n").alias("n"),
+        F.sum("page_bytes").alias("page_bytes"))
+
+
+def stream_analyze(pages: DataFrame, sites: DataFrame, out: str, checkpoint: str, *,
+                   fingerprints=FINGERPRINTS, suffixes=fixed.DEFAULT_SUFFIXES,
+                   placeholders=fixed.PLACEHOLDER_DOMAINS, dial_plan=None, **options):
     """Analyse the sites of each newly landed batch of pages.
 
-    The analysis is a pure function of its input, so a batch that is replayed
-    writes the same rows; the batch id in the path makes the write idempotent.
-    The pages of one capture are expected to land together.
+    The pages of a site may come in any number of batches: the first facts of
+    each batch are stored (no page source), and a touched site is analysed from
+    the facts of all batches so far. ``latest()`` over ``out/scores`` gives one
+    row per site. A replayed batch writes the same files again.
     """
     def analyse(batch: DataFrame, batch_id: int) -> None:
-        touched = sites.join(batch.select("site").distinct(), "site", "left_semi")
-        scored = score_table(analyze(touched, batch, **options))
-        scored.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        spark, store = batch.sparkSession, f"{out}/facts"
+        found = facts.first_facts(facts.page_facts(
+            batch, fingerprints, facts.PARTS, suffixes, placeholders, dial_plan))
+        found.write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
+        known = spark.read.parquet(store).where(F.col("batch") <= batch_id)
+        touched = known.where(F.col("batch") == batch_id).select("site").distinct()
+        firsts = merged_facts(known.drop("batch").join(touched, "site", "left_semi"))
+        scored = score_table(analyze(
+            sites.join(touched, "site", "left_semi"), batch, fingerprints=fingerprints,
+            suffixes=suffixes, placeholders=placeholders, dial_plan=dial_plan, firsts=firsts,
+            **options))
+        scored.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(
+            f"{out}/scores/batch={batch_id}")
 
     return run_to_end(pages.writeStream.foreachBatch(analyse), checkpoint)
 
