@@ -36,8 +36,8 @@ BROADCAST_ROWS = 50_000
 RATIOS = {
     "chars_per_word": (0.75, True),
     "symbols_per_word": (0.03, False),
-    "dup_lines_per_line": (0.08, False),
-    "repeats_per_word": (0.05, False),
+    "dup_lines_per_line": (0.12, False),
+    "repeats_per_word": (0.09, False),
     "capitals_per_char": (0.06, False),
 }
 
