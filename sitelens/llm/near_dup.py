@@ -11,10 +11,9 @@
    class that meets the most others, so a group meets the same few everywhere.
 4. Pairs are verified on the full sets, and linked classes form components.
 5. What the stars may have missed are links between two classes of one bucket
-   that are in different components. Of those pairs the ones are verified whose
-   shingles known outside their own component are enough for the similarity, an
-   exact bound that spares the members of a group which are only a little too far
-   apart; then the components are drawn again.
+   that are in different components. Such classes carry their differences from
+   the bucket's hub, from which the join's condition computes the similarity of
+   the full sets: only links come out. Then the components are drawn again.
 
 A pair at the threshold shares no band with a probability of about 5e-8
 (32 bands of 4 rows). Sets hold 64-bit hashes of shingles.
@@ -178,16 +177,30 @@ def star_members(met: DataFrame) -> DataFrame:
         "bucket", "class", "n", F.first("class").over(order).alias("hub"), F.first("n").over(order).alias("hub_n"))
 
 
-def shared_shingles(rest: DataFrame, sets: DataFrame) -> DataFrame:
-    """(class, shared): how many shingles of a class occur in a class of another component.
+def with_differences(rest: DataFrame, sets: DataFrame) -> DataFrame:
+    """``rest`` with the shingles of the hub that a class lacks, and those it has besides."""
+    of = lambda c: sets.select(F.col("class").alias(c), F.col("shingles").alias(f"{c}_set"))
+    each = rest.select("class", "hub").distinct().join(of("class"), "class").join(of("hub"), "hub").select(
+        "class", "hub", F.array_except("hub_set", "class_set").alias("lacks"), F.array_except("class_set", "hub_set").alias("besides"))
+    return rest.join(each, ["class", "hub"])
+
+
+def linked_across(rest: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) between classes of one bucket and different components.
 
-    Classes of different components cannot have more shingles in common than the
-    smaller of these numbers.
+    Both are known by their differences from the bucket's hub, so the join's own
+    condition verifies the full sets, and pairs that are no links are never made.
     """
-    roots = rest.select("class", "root").distinct()
-    each = sets.join(roots, "class").select("class", "root", F.explode("shingles").alias("shingle"))
-    wide = each.groupBy("shingle").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b")
-    return each.join(wide.select("shingle"), "shingle", "left_semi").groupBy("class").agg(F.count("*").alias("shared"))
+    other = rest.select("bucket", *[F.col(c).alias(f"o_{c}") for c in ("class", "n", "root", "lacks", "besides")])
+    sizes = 100 * F.least("n", "o_n") >= percent * F.greatest("n", "o_n")
+    both = (F.col("hub_n") - F.size("lacks") - F.size("o_lacks") + F.size(F.array_intersect("lacks", "o_lacks"))
+            + F.size(F.array_intersect("besides", "o_besides")))
+    # what they can share at most, from the sizes alone
+    most = F.col("hub_n") - F.greatest(F.size("lacks"), F.size("o_lacks")) + F.least(F.size("besides"), F.size("o_besides"))
+    enough = lambda x: 100 * x >= percent * (F.col("n") + F.col("o_n") - x)
+    return rest.join(other, "bucket").filter(
+        (F.col("root") != F.col("o_root")) & (F.col("class") < F.col("o_class")) & sizes & enough(most) & enough(both)
+    ).select(F.col("class").alias("u"), F.col("o_class").alias("v")).distinct()
 
 
 def candidate(pairs: DataFrame, percent: int) -> DataFrame:
@@ -225,18 +238,12 @@ def cluster(docs: DataFrame, width: int, percent: int = SIMILARITY_PERCENT,
     mixed = placed.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b")
     apart = written(placed.join(mixed.select("bucket"), "bucket", "left_semi"), "apart")
     # of two classes of one bucket neither is the hub here: those pairs are verified already
-    rest = apart.filter("class <> hub").select("bucket", "class", "n", "root")
-    rest = written(rest.join(shared_shingles(rest, sets), "class").filter(
-        100 * F.col("shared") >= percent * F.col("n")), "rest")
-    other = rest.select("bucket", *[F.col(c).alias(f"hub_{c}") for c in ("n", "root", "shared")], F.col("class").alias("hub"))
-    most = F.least("shared", "hub_shared")
-    missed = rest.join(other, "bucket").filter(
-        (F.col("root") != F.col("hub_root")) & (F.col("class") < F.col("hub"))
-        & (100 * most >= percent * (F.col("n") + F.col("hub_n") - most)))
-    more = written(verified(candidate(missed, percent), sets, percent), "more_links")
+    rest = with_differences(apart.filter("class <> hub").select("bucket", "class", "n", "root", "hub", "hub_n"), sets)
+    more = written(linked_across(rest, percent), "more_links")
     joined = first
     if not more.isEmpty():
-        joined = components(links.unionByName(more))
+        # the stars found so far stand for the links they came from
+        joined = components(first.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more))
     roots = named.select("class", "doc_id").groupBy("class").agg(F.min("doc_id").alias("doc_id")).join(
         joined.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     names = roots.select("class", "root").join(

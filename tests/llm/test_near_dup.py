@@ -97,3 +97,18 @@ def test_components_of_long_paths(spark):
 def test_shingler(text):
     for width in (2, 5):
         assert len(near_dup.Shingler(width)(text)) == len(shingle_set(text, width))
+
+
+def test_links_across_components_from_differences(spark):
+    random.seed(8)
+    pool = list(range(60))
+    sets = {bytes([i]): sorted(random.sample(pool, random.randint(40, 55))) for i in range(1, 40)}
+    hub = bytes([0])
+    sets[hub] = pool[:50]
+    table = spark.createDataFrame(list(sets.items()), "class binary, shingles array<bigint>")
+    rest = spark.createDataFrame([(k, c, len(s), bytes([c[0] % 7]), hub, 50) for c, s in sets.items() for k in (1, 2) if c != hub],
+                                 "bucket bigint, class binary, n int, root binary, hub binary, hub_n int")
+    got = {(bytes(r.u), bytes(r.v)) for r in near_dup.linked_across(near_dup.with_differences(rest, table), 80).collect()}
+    want = {(a, b) for a in sets for b in sets if hub < a < b and a[0] % 7 != b[0] % 7
+            and 100 * len({*sets[a]} & {*sets[b]}) >= 80 * len({*sets[a]} | {*sets[b]})}
+    assert got == want and want
