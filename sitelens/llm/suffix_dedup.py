@@ -66,11 +66,11 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def piece_hashes(data: np.ndarray) -> np.ndarray:
-    """A hash of each 32-byte piece, by doubling the length five times."""
+    """A hash of each 32-byte piece along the last axis, by doubling the length five times."""
     h, factor = data.astype(np.uint64) + np.uint64(1), 0x100000001B3
     with np.errstate(over="ignore"):
         for k in range(5):
-            h = h[:-(1 << k)] * np.uint64(factor) + h[1 << k:]
+            h = h[..., :-(1 << k)] * np.uint64(factor) + h[..., 1 << k:]
             factor = factor * factor % (1 << 64)
     return mixed(h)
 
@@ -218,7 +218,7 @@ def suffix_runs(rows: DataFrame, buckets: int) -> DataFrame:
         def emit() -> Iterator[pa.RecordBatch]:
             held.sort()
             parts: dict[int, list[tuple]] = {}
-            copies, before = [], None
+            copies, kept, before = [], [], None
             for r in held:
                 if before is not None and r[:2] == before[:2] and r[5] == before[5]:
                     if r[2:5] != before[2:5]:
@@ -226,8 +226,11 @@ def suffix_runs(rows: DataFrame, buckets: int) -> DataFrame:
                         copies.append((r[2], r[3], start, start + r[5] + LENGTH - 1))
                     continue
                 before = r
-                piece = int(piece_hashes(np.frombuffer(r[0][:PIECE], np.uint8))[0] % np.uint64(buckets))
-                parts.setdefault(piece, []).append(r)
+                kept.append(r)
+            pieces = np.frombuffer(b"".join([r[0][:PIECE] for r in kept]), np.uint8).reshape(-1, PIECE)
+            dealt = piece_hashes(pieces)[:, 0] % np.uint64(buckets)
+            for bucket, r in zip(dealt.tolist(), kept, strict=True):
+                parts.setdefault(bucket, []).append(r)
             rows = [pack(b, part) for b, part in parts.items()]
             if copies:
                 docs, hashes, lo, hi = (np.array(x, np.int64).tobytes() for x in zip(*copies, strict=True))
