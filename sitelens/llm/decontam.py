@@ -76,11 +76,11 @@ def rows_of(docs: DataFrame) -> DataFrame:
 
 def occurrences(docs: DataFrame, shingles: DataFrame, few: bool) -> DataFrame:
     """(doc_id, text_hash, n_words, pos, shingle) where a document has a shingle of some window."""
-    split = rows_of(docs).select(*KEY, words(F.col("text")).alias("words"))
+    split = rows_of(docs).select(*KEY, words(F.col("text")).alias("words")).withColumn("n_words", F.size("words"))
     known = small(shingles.select("shingle").distinct(), few)
     parts = []
     for (k,) in shingles.select("k").distinct().collect():  # at most SHINGLE different lengths
-        placed = split.select(*KEY, F.size("words").alias("n_words"),
+        placed = split.select(*KEY, "n_words",
                               F.posexplode(runs(F.col("words"), k)).alias("pos", "shingle"))
         parts.append(placed.join(known, "shingle", "left_semi"))
     out = parts[0]

@@ -66,8 +66,8 @@ def word_pairs(text: Column) -> Column:
 def paragraphs(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, line_no, pairs) of every line with a word."""
     text = F.col("text").cast("string")
-    lines = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("text_hash"),
-                        F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    lines = rows.select(*KEY, F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     return lines.select(*KEY, "line_no", word_pairs(F.col("line")).alias("pairs")).filter(F.size("pairs") > 1)
 
 
@@ -128,7 +128,7 @@ def rated(rows: DataFrame, model: Model, *keys: str) -> DataFrame:
     """Probabilities of the families of each paragraph that has a known pair."""
     span = range(len(model.families))
     # as many rows as the templates have pairs
-    met = rows.select(*keys, F.size(inner(F.col("pairs"))).alias("size"), F.explode("pairs").alias("pair")).join(F.broadcast(model.weights), "pair")
+    met = rows.withColumn("size", F.size(inner(F.col("pairs")))).select(*keys, "size", F.explode("pairs").alias("pair")).join(F.broadcast(model.weights), "pair")
     sums = met.groupBy(*keys).agg(*[F.sum(F.get("w", F.lit(i))).alias(f"w{i}") for i in span], F.first("size").alias("size"),
                                   F.collect_set("pair").alias("known"))
     power = [F.exp(F.col(f"w{i}") + F.lit(model.bias[i])) for i in span]
