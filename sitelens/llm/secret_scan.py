@@ -6,7 +6,7 @@ lengths of the matches and of the gaps between them. Candidate strings of each
 character class are rated by the Shannon entropy of every window: the sum of
 ``c * log2(c)`` over the counts in a window changes only by the sign that enters
 and the one that leaves, so a step costs the width of the window and not its
-alphabet. Strings on the allow list are not reported.
+alphabet. Strings that the allow list covers as a whole are not reported.
 
 Defined results: a null text counts as an empty one without spans; rows are
 answered one by one, so repeated rows and repeated or null ``doc_id`` stay;
@@ -44,10 +44,17 @@ CLASSES = (
     CharClass("entropy_hex", r"(?<![0-9A-Fa-f])(?=[A-F]*[0-9])[0-9A-F]{20,}(?![0-9A-Fa-f])", 20, 2.9),
     CharClass("entropy_base64", r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[a-z0-9+/_-]*[A-Z])(?=[A-Z0-9+/_-]*[a-z])"
               r"[A-Za-z0-9+/_-]{24,}", 24, 3.9),
+    # one case with digits, and a letter that is no hexadecimal digit
+    CharClass("entropy_lower", r"(?<![A-Za-z0-9])(?=[a-z]*[0-9])(?=[0-9a-f]*[g-z])[a-z0-9]{20,}(?![A-Za-z0-9])", 20, 3.4),
+    CharClass("entropy_upper", r"(?<![A-Za-z0-9])(?=[A-Z]*[0-9])(?=[0-9A-F]*[G-Z])[A-Z0-9]{20,}(?![A-Za-z0-9])", 20, 3.4),
 )
+#: What makes a whole candidate no secret. A listed part counts where less than a window stands
+#: on either side of it, so that a key with such a part in it, or beside it, is still rated. Runs
+#: of letters count where no lower-case letter stands alone: so are names written, not random strings.
 ALLOWED = (
-    r"(?i)example|sample|dummy|placeholder|changeme|your[_-]?(?:key|token|secret)"
-    r"|abcdefghij|0123456789|(.)\1{5}|[A-Za-z]{16,}"
+    r"^.{0,19}(?:(?i:example|sample|dummy|placeholder|changeme|your[_-]?(?:key|token|secret))"
+    r"|abcdefghij|0123456789|(.)\1{5,}).{0,19}$|bPxRfiCYEXAMPLEKEY$"
+    r"|^(?=.*[A-Za-z]{16})(?=.*[a-z])(?!.*(?<![a-z])[a-z](?![a-z]))"
 )
 
 

@@ -1,6 +1,8 @@
 import hashlib
 import math
+import random
 import re
+import string
 from collections import Counter
 
 from sitelens.llm import secret_scan
@@ -54,3 +56,26 @@ def test_whole_table(spark):
     rows = op7_secrets(spark, sf).collect()
     assert {r.doc_id: tuple(r)[1:] for r in rows} == {d: brute(t) for d, t in texts.items()}
     assert sum(r.n_assign + r.n_access for r in rows) > 5
+
+
+def test_random_secrets_of_every_alphabet_and_length(spark, documents):
+    random.seed(7)
+    lower, upper, digits = string.ascii_lowercase, string.ascii_uppercase, string.digits
+    alphabets = {"alnum": lower + upper + digits, "base64": lower + upper + digits + "+/", "lower": lower + digits,
+                 "upper": upper + digits, "base32": upper + "234567"}
+    rows, group = [], {}
+    for name, signs in alphabets.items():
+        for length in (32, 40, 88, 200, 1600):
+            for _ in range(40):
+                group[len(rows)] = (name, length)
+                rows.append((len(rows), f"the value {''.join(random.choices(signs, k=length))} was found"))
+    key = "Zk3Jd8Qw1Er5Ty7Ui0Op2As4Df6Gh9Kl"
+    beside = ["sample_" + key + key, key + "AAAAAAAA" + key]
+    names = ["wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "com/acme/SomeLongJavaClassName2Impl/methodName",
+             "abcdefghijklmnopqrstuvwxyz0123456789", "internationalization2020"]
+    rows += [(10_000 + i, t) for i, t in enumerate(beside)] + [(20_000 + i, t) for i, t in enumerate(names)]
+    found = {r.doc_id: any(s.kind.startswith("entropy") for s in r.spans) for r in secret_scan.scan(documents(rows)).collect()}
+    hits = Counter(g for d, g in group.items() if found[d])
+    assert all(hits[g] >= 36 for g in set(group.values())), hits
+    assert all(found[10_000 + i] for i in range(len(beside)))
+    assert not any(found[20_000 + i] for i in range(len(names)))
