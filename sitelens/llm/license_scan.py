@@ -5,13 +5,15 @@ paragraphs of NEGATIVE_DOCS documents (the ones with the smallest id hashes: a
 bounded sample). The features are word pairs that occur in some template; a
 multinomial logistic regression with an L1 share gives sparse weights.
 
-Scanning: every paragraph (line) of every whole text. Its distinct word pairs meet
-the table of weights, whose size is that of the templates, and what is known is
-summed per paragraph; paragraphs without a known pair cannot be notices. The limit
-for a family's probability is calibrated on the negative sample. A prediction
-stands if the paragraph also contains CONFIRM_SHARE of the word pairs of one of
-the family's templates; one that is likely a notice but of no confirmed family is
-``unknown``.
+Scanning: every line of every whole text, and lines that follow each other without
+a blank one. Known word pairs, also those of a line's last word and the next one's
+first, are found in one pass over the texts. What is known is summed per line; lines
+without a known pair cannot be notices by themselves. The limit for a family's
+probability is calibrated on the ordinary lines of all texts. A prediction stands if
+the line also contains CONFIRM_SHARE of the word pairs of one of the family's
+templates; one that is likely a notice but of no confirmed family is ``unknown``.
+A notice that is wrapped stands if a window of REACH template lengths, over the ends
+of lines, contains CONFIRM_SHARE of a template; its lines are not ``unknown`` then.
 
 Defined results: a null or empty text has no paragraphs; rows alike in ``doc_id``
 and text get the same answer, others are apart; ties between families go to the
@@ -22,10 +24,10 @@ from __future__ import annotations
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizerModel
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sitelens.llm.arrays import pairs_with_next
+from sitelens.llm.arrays import pairs_with_next, running_sum
 from sitelens.session import written
 
 #: Public notices by which works are licensed.
@@ -52,15 +54,27 @@ TEMPLATES = (
 NONE, UNKNOWN = "none", "unknown"
 NEGATIVE_DOCS = 300
 CONFIRM_SHARE = 0.7
+REACH = 1.5  # words over which a template may be spread, as a multiple of its length
+APART = 100_000  # words that a blank line counts for: no window goes over one
 LEAST_LIMIT, NEGATIVE_QUANTILE = 0.5, 0.999
 BETWEEN = r"[^\p{L}\p{N}.]+|\.(?!\p{N})"
 KEY = ["doc_id", "text_hash"]
 
 
+def words_in(text: Column) -> Column:
+    """Words of a text; what marks a comment is no word."""
+    return F.filter(F.split(F.lower(text), BETWEEN), lambda w: w != "")
+
+
+def all_pairs(words: Column) -> Column:
+    """Pairs of neighbouring words, with marks for the ends of the paragraph."""
+    marked = F.concat(F.array(F.lit("^")), words, F.array(F.lit("$")))
+    return pairs_with_next(marked, lambda a, b: F.concat(a, F.lit(" "), b))
+
+
 def word_pairs(text: Column) -> Column:
     """Distinct pairs of neighbouring words, with marks for the ends of the paragraph."""
-    words = F.concat(F.array(F.lit("^")), F.filter(F.split(F.lower(text), BETWEEN), lambda w: w != ""), F.array(F.lit("$")))
-    return F.array_distinct(pairs_with_next(words, lambda a, b: F.concat(a, F.lit(" "), b)))
+    return F.array_distinct(all_pairs(words_in(text)))
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
@@ -124,33 +138,93 @@ def fit(docs: DataFrame) -> Model:
     return Model(families, [float(x) for x in found.interceptVector], weights)
 
 
-def rated(rows: DataFrame, model: Model, *keys: str) -> DataFrame:
-    """Probabilities of the families of each paragraph that has a known pair."""
-    span = range(len(model.families))
+def known_pairs(docs: DataFrame, model: Model) -> DataFrame:
+    """(key, line_no, size, at, pair, cross) of every pair of the model's table in any text, once for each line.
+
+    ``at`` counts words from the start of the text, blank lines as APART. ``cross``
+    pairs are made of the last word of a line and the first one of the next line.
+    """
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("text_hash"),
+                       F.transform(F.split(text, "\n"), words_in).alias("words"))
+    ends = rows.select(*KEY, "words", running_sum(F.transform("words", lambda w: F.when(
+        F.size(w) == 0, APART).otherwise(F.size(w)).cast("bigint"))).alias("ends"))
+    lines = ends.select(*KEY, F.posexplode(F.transform("words", lambda w, i: F.struct(
+        w.alias("words"), F.get("ends", i).alias("end"), F.get(F.get("words", i + 1), F.lit(0)).alias("next")))).alias("line_no", "line"))
+    full = lines.filter(F.size("line.words") > 0).select(
+        *KEY, "line_no", (F.col("line.end") - F.size("line.words")).alias("start"), all_pairs(F.col("line.words")).alias("pairs"),
+        F.concat(F.try_element_at("line.words", F.lit(-1)), F.lit(" "), F.col("line.next")).alias("bridge"))
+    named = full.select(*KEY, "line_no", "start", F.size(inner(F.array_distinct("pairs"))).alias("size"),
+                        F.concat("pairs", F.array("bridge")).alias("every"))
+    each = named.select(*KEY, "line_no", "start", "size", F.size("every").alias("n"), F.posexplode("every").alias("place", "pair"))
     # as many rows as the templates have pairs
-    met = rows.withColumn("size", F.size(inner(F.col("pairs")))).select(*keys, "size", F.explode("pairs").alias("pair")).join(F.broadcast(model.weights), "pair")
+    met = each.join(F.broadcast(model.weights.select("pair")), "pair")
+    return met.groupBy(*KEY, "line_no", "size", "pair", (F.col("place") == F.col("n") - 1).alias("cross")).agg(
+        F.min(F.col("start") + F.col("place")).alias("at"))
+
+
+def rated(known: DataFrame, model: Model) -> DataFrame:
+    """Probabilities of the families of each line that has a known pair."""
+    span, keys = range(len(model.families)), [*KEY, "line_no"]
+    met = known.filter(~F.col("cross")).join(F.broadcast(model.weights), "pair")
     sums = met.groupBy(*keys).agg(*[F.sum(F.get("w", F.lit(i))).alias(f"w{i}") for i in span], F.first("size").alias("size"),
                                   F.collect_set("pair").alias("known"))
     power = [F.exp(F.col(f"w{i}") + F.lit(model.bias[i])) for i in span]
     total = sum(power[1:], power[0])
-    return sums.select(*keys, "known", "size", F.array(*[x / total for x in power]).alias("p"))
+    none = model.families.index(NONE)
+    return sums.select(*keys, "known", "size", F.array(*[x / total for x in power]).alias("p")).withColumn(
+        "notice", 1 - F.get("p", F.lit(none)))
 
 
-def limit_of(docs: DataFrame, model: Model) -> float:
-    """What a family's probability must reach: beyond nearly all paragraphs of the negative sample."""
-    some = docs.select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id").limit(NEGATIVE_DOCS)
-    none = model.families.index(NONE)
-    ratings = rated(paragraphs(some), model, *KEY, "line_no").filter(~may_be_notice(F.col("known"), F.col("size")))
-    top = ratings.agg(F.percentile_approx(1 - F.get("p", F.lit(none)), NEGATIVE_QUANTILE)).first()[0]
+def limit_of(ratings: DataFrame) -> float:
+    """What a family's probability must reach: beyond nearly all ordinary paragraphs of all texts (a mergeable sketch)."""
+    ordinary = ratings.filter(~may_be_notice(F.col("known"), F.col("size")))
+    top = ordinary.agg(F.percentile_approx("notice", NEGATIVE_QUANTILE)).first()[0]
     return max(LEAST_LIMIT, min(float(top or 0.0), 0.95))
 
 
+def same_text(a: str, b: str) -> Column:
+    return F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.text_hash") == F.col(f"{b}.text_hash"))
+
+
+def wrapped(known: DataFrame, templates: DataFrame) -> DataFrame:
+    """(key, first, last, family, template, size, share) of notices that go over the ends of lines.
+
+    Windows of REACH template lengths over the words of lines that follow each
+    other; of windows on the same lines the one with the largest share stands.
+    """
+    text, reach = [*KEY, "template"], 1000
+    met = known.join(F.broadcast(templates.withColumnRenamed("size", "of")), "pair")
+    order = Window.partitionBy(*text).orderBy((F.col("at") * reach / F.col("of")).cast("bigint")).rangeBetween(0, int(REACH * reach))
+    spans = met.select(*text, "family", "of", F.col("line_no").alias("first"), F.size(F.collect_set("pair").over(order)).alias("n"),
+                       F.max(F.col("line_no") + F.col("cross").cast("int")).over(order).alias("last"),
+                       F.max("cross").over(order).alias("bridged"), "at")
+    good = spans.withColumn("share", F.col("n") / F.col("of")).filter(F.col("bridged") & (F.col("share") >= CONFIRM_SHARE))
+    before = Window.partitionBy(*text).orderBy("first", "at").rowsBetween(Window.unboundedPreceding, -1)
+    new = F.coalesce(F.col("first") > F.max("last").over(before), F.lit(True)).cast("int")
+    upto = Window.partitionBy(*text).orderBy("first", "at").rowsBetween(Window.unboundedPreceding, 0)
+    islands = good.withColumn("new", new).withColumn("island", F.sum("new").over(upto))
+    best = F.max_by(F.struct("first", "last", "share"), F.struct("share", F.col("first") - F.col("last")))
+    found = written(islands.groupBy(*text, "family", "of", "island").agg(best.alias("w")).select(*text, "family", "of", "w.*"), "wrapped")
+    x, y = found.alias("x"), found.alias("y")
+    common = F.least("x.last", "y.last") - F.greatest("x.first", "y.first") + 1
+    shorter = F.least(F.col("x.last") - F.col("x.first"), F.col("y.last") - F.col("y.first")) + 1
+    rank = lambda t: F.struct(f"{t}.share", f"{t}.of", -F.col(f"{t}.template"))
+    return x.join(y, same_text("x", "y") & (F.col("x.template") != F.col("y.template")) & (2 * common >= shorter) & (rank("x") < rank("y")),
+                  "left_anti")
+
+
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, line_no, family, probability and template share of every licence paragraph."""
+    """doc_id, text_hash, line_no, family, probability and template share of every licence paragraph.
+
+    A notice that goes over several lines stands at its first line, with the share as its probability.
+    """
     model = fit(docs)
-    limit, none = limit_of(docs, model), model.families.index(NONE)
+    known, none = written(known_pairs(docs, model), "known_pairs"), model.families.index(NONE)
     keys = [*KEY, "line_no"]
-    likely = rated(paragraphs(docs), model, *keys).withColumn("notice", 1 - F.get("p", F.lit(none))).filter(F.col("notice") >= limit)
+    ratings = rated(known, model)
+    limit = limit_of(ratings)
+    likely = ratings.filter(F.col("notice") >= limit)
     without = F.transform("p", lambda x, i: F.when(i == none, -1.0).otherwise(x))
     best = F.array_max("without")
     named = likely.withColumn("without", without).select(
@@ -164,8 +238,14 @@ def scan(docs: DataFrame) -> DataFrame:
         *[F.col(k).alias(f"s_{k}") for k in keys], "share")
     out = named.join(shares, [F.col(k).eqNullSafe(F.col(f"s_{k}")) for k in keys], "left")
     sure = (F.col("probability") >= limit) & (F.coalesce("share", F.lit(0.0)) >= CONFIRM_SHARE)
-    return out.select(*keys, F.when(sure, F.col("family")).otherwise(UNKNOWN).alias("family"),
-                      F.col("probability"), F.coalesce("share", F.lit(0.0)).alias("share"))
+    single = written(out.select(*keys, F.when(sure, F.col("family")).otherwise(UNKNOWN).alias("family"),
+                                F.col("probability"), F.coalesce("share", F.lit(0.0)).alias("share")), "single_lines")
+    over = written(wrapped(known, templates), "over_lines")
+    within = same_text("s", "o") & F.col("s.line_no").between(F.col("o.first"), F.col("o.last"))
+    # lines of a notice that goes on are not unknown ones; a family is told once for its lines
+    alone = single.alias("s").join(over.alias("o"), within & (F.col("s.family") == UNKNOWN), "left_anti")
+    more = over.alias("o").join(single.alias("s"), within & (F.col("s.family") == F.col("o.family")), "left_anti")
+    return alone.unionByName(more.select(*KEY, F.col("first").alias("line_no"), "family", F.col("share").alias("probability"), "share"))
 
 
 def per_document(docs: DataFrame) -> DataFrame:

@@ -35,3 +35,26 @@ def test_odd_and_unknown(spark, documents, odd_rows):
     assert named[71].families == "" and named[72].families == ""
     assert sorted(r.families for r in got if r.doc_id is None) == ["", "", "mit"]
     assert license_scan.per_document(documents([])).collect() == []
+
+
+MIT = """Permission is hereby granted, free of charge, to any person
+obtaining a copy of this software and associated documentation
+files (the "Software"), to deal in the Software without restriction"""
+GPL = """This program is free software: you can redistribute it
+and/or modify it under the terms of the GNU General Public
+License as published by the Free Software Foundation, either
+version 3 of the License, or (at your option) any later version."""
+NC = """This work is licensed under a Creative
+Commons Attribution-NonCommercial 4.0
+International License"""
+
+
+def test_wrapped_notices(spark, documents):
+    marked = lambda text, mark: "\n".join(mark + line for line in text.split("\n"))
+    rows = [(1, f"Title\n\n{MIT}\n\nProse follows."), (2, f"int x;\n{marked(GPL, ' * ')}\nint y;"), (3, marked(NC, "# ")),
+            (4, f"{marked(MIT, '// ')}\n{marked(GPL, '// ')}"), (None, MIT), (5, MIT.replace("\n", "\n\n")),
+            (6, f"{'some words before the notice ' * 60}{GPL}")]
+    got = {r.doc_id: (r.families, r.n_licenses, r.n_unknown) for r in license_scan.per_document(documents(rows)).collect()}
+    assert got[1] == got[None] == ("mit", 1, 0) and got[2] == got[6] == ("gpl-3.0", 1, 0) and got[3] == ("cc-by-nc-4.0", 1, 0)
+    assert got[4] == ("gpl-3.0,mit", 2, 0)
+    assert got[5][0] == ""
