@@ -135,3 +135,82 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sitelens.llm.license_scan import per_document
 
     return per_document(table(spark, sf_dir, "documents"))
+
+
+@register
+def op11_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sitelens.llm.pivot_search import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+ORACLES["op11_topk"] = """
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND coalesce(list_bool_and(list_transform(embedding, lambda x: coalesce(isfinite(x), false))), true)),
+s AS (SELECT q.r, q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+      FROM v AS q JOIN v AS c ON q.vec_id % 20 = 0 AND q.r <> c.r)
+SELECT query_id, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s QUALIFY rank <= 20
+"""
+
+
+@register
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sitelens.llm.divergence import audit
+
+    return audit(table(spark, sf_dir, "documents"))
+
+
+SHARE = "1 + (1000000000::HUGEINT * ({n} + 1)) // ({total} + v)"
+ORACLES["op12_divergence"] = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+           coalesce(regexp_extract_all({LOWER}, '[a-z\x{{80}}-\x{{10FFFF}}]+'), []) AS w FROM documents),
+o AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS n FROM o GROUP BY ALL HAVING count(DISTINCT r) >= 3),
+l AS (SELECT lang, count(*) AS v, sum(n) AS total FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM o SEMI JOIN k USING (lang, term) GROUP BY ALL),
+t AS (SELECT lang, source, sum(n) AS total FROM c GROUP BY ALL),
+p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, {SHARE.format(n="coalesce(c.n, 0)", total="coalesce(t.total, 0)")} AS p,
+             {SHARE.format(n="k.n", total="l.total")} AS q
+      FROM g JOIN k USING (lang) JOIN l USING (lang) LEFT JOIN t ON t.lang = g.lang AND t.source = g.source
+      LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+f AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+      FROM p AS a JOIN p AS b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+both_parts AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+  FROM g AS a JOIN g AS b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q) // q)::BIGINT FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value,
+       row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item))::INTEGER AS rank
+FROM both_parts QUALIFY part = 'pair' OR rank <= 200
+"""
+
+
+@register
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sitelens.llm.collocations import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op13_collocations"] = rf"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece
+           FROM documents WHERE text IS NOT NULL),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM d),
+s AS (SELECT lang, sum(len(w)) AS n FROM w GROUP BY lang),
+grams AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase
+      FROM w, unnest([1, 2, 3]) AS u(k), unnest(range(1, len(w) - k + 2)) AS t(i)),
+f AS (SELECT lang, k, phrase, count(*) AS a FROM grams GROUP BY ALL HAVING count(*) >= 10),
+cut AS (SELECT lang, phrase, f.k, a, j, string_split(phrase, ' ') AS p FROM f, unnest(range(1, f.k)) AS u(j)),
+x AS (SELECT cut.lang, cut.phrase, cut.k, cut.a, j, l.a AS l, r.a AS r, (1000000::HUGEINT * cut.a * cut.a) // (l.a::HUGEINT * r.a) AS score
+      FROM cut JOIN f AS l ON l.lang = cut.lang AND l.k = j AND l.phrase = array_to_string(p[1:j], ' ')
+      JOIN f AS r ON r.lang = cut.lang AND r.k = cut.k - j AND r.phrase = array_to_string(p[j + 1:cut.k], ' ')),
+best AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+longer AS (SELECT lang, array_to_string(string_split(phrase, ' ')[i:i + 1], ' ') AS phrase, max(a) AS ext
+           FROM f, unnest([1, 2]) AS u(i) WHERE k = 3 GROUP BY ALL),
+kept AS (SELECT best.* FROM best LEFT JOIN longer ON longer.lang = best.lang AND longer.phrase = best.phrase AND best.k = 2
+         WHERE ext IS NULL OR 100 * ext < 50 * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score
+FROM kept JOIN s USING (lang) QUALIFY rank <= 2000
+"""
