@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import json
+import zlib
 
 from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, Window
@@ -86,6 +87,19 @@ def literal_map(entries: dict, kind: str = "string") -> Column:
     return F.from_json(F.lit(json.dumps(entries)), f"map<string,{kind}>")
 
 
+def lookup(entries: dict, kind: str = "string"):
+    """key -> entry. A long table is split by a hash of its keys, so that a test
+    compares with a few of them only."""
+    if len(entries) <= 64:
+        table = literal_map(entries, kind)
+        return lambda key: F.element_at(table, key)
+    parts: list[dict] = [{} for _ in range(len(entries) // 8)]
+    for key, entry in entries.items():
+        parts[zlib.crc32(key.encode()) % len(parts)][key] = entry
+    table = F.from_json(F.lit(json.dumps(parts)), f"array<map<string,{kind}>>")
+    return lambda key: F.element_at(F.get(table, (F.crc32(key) % len(parts)).cast("int")), key)
+
+
 def first_where(array: Column, test) -> Column:
     return F.get(F.filter(array, test), F.lit(0))
 

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from sitelens import fixed
 from sitelens.functions.columns import any_contains, built_once, found
 from sitelens.operators import contacts as contact_ops
+from sitelens.operators import rule_packs
 from sitelens.rules import FINGERPRINTS
 
 HOME_TYPE = (
@@ -153,9 +154,12 @@ def page_facts(pages: DataFrame, fingerprints=FINGERPRINTS, parts=PARTS,
     single: list[Column] = []
     if "page" in parts:
         single += _page_facts()
-    if "signals" in parts:
-        single += _signal_facts(tuple(fingerprints))
     lists = []
+    if "signals" in parts and isinstance(fingerprints, rule_packs.RulePack):
+        base = base.withColumn("candidates", fingerprints.page_candidates(F.col("html"), F.col("final_url")))
+        lists.append(rule_packs.page_facts(fingerprints, fact))
+    elif "signals" in parts:
+        single += _signal_facts(tuple(fingerprints))
     if single:
         lists.append(F.array_compact(F.array(*single)))
     if "contacts" in parts:

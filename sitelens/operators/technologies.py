@@ -11,9 +11,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitelens import fixed
-from sitelens.functions.columns import built_once, first_where, literal_map
+from sitelens.functions.columns import built_once, first_where, literal_map, lookup
 from sitelens.functions.versions import is_outdated, major_versions_behind
+from sitelens.operators import rule_packs
 from sitelens.operators.facts import has_group, signal_key
+from sitelens.operators.rule_packs import RulePack
 from sitelens.rules import FINGERPRINTS, LATEST_VERSIONS
 
 HIT = (
@@ -103,14 +105,17 @@ def _page_hits(fingerprints) -> Column:
 
 def with_hits(frame: DataFrame, fingerprints=FINGERPRINTS) -> DataFrame:
     """Adds ``hits``: every fired signal, in rule order. Bounded by the pack."""
-    ordered = tuple(sorted(fingerprints))
-    hits = F.when(F.col("page_count") > 0,
-                  F.concat(_site_hits(ordered), _page_hits(ordered))
-                  ).otherwise(F.array().cast(f"array<{HIT}>"))
+    if isinstance(fingerprints, RulePack):
+        found = F.concat(rule_packs.site_hits(fingerprints, HIT),
+                         rule_packs.page_hits(fingerprints, HIT))
+    else:
+        ordered = tuple(sorted(fingerprints))
+        found = F.concat(_site_hits(ordered), _page_hits(ordered))
+    hits = F.when(F.col("page_count") > 0, found).otherwise(F.array().cast(f"array<{HIT}>"))
     return frame.withColumn("hits", F.array_sort(hits))
 
 
-def _technology(tech_id: Column, names: Column, categories: Column, latest: Column) -> Column:
+def _technology(tech_id: Column, name, category, latest) -> Column:
     own = F.filter("hits", lambda h: h["tech_id"] == tech_id)
     versions = F.filter(own, lambda h: h["version"].isNotNull())
     version = F.get(F.transform(versions, lambda h: h["version"]), F.lit(0))
@@ -119,11 +124,11 @@ def _technology(tech_id: Column, names: Column, categories: Column, latest: Colu
     # the last signal of a type supplies its evidence
     proof = F.map_from_arrays(types, F.transform(types, lambda t: F.element_at(
         F.transform(F.filter(own, lambda h: h["type"] == t), lambda h: h["text"]), -1)))
-    known = F.element_at(latest, tech_id)
+    known = latest(tech_id)
     return F.struct(
-        F.element_at(categories, tech_id).alias("category"),
+        category(tech_id).alias("category"),
         tech_id.alias("tech_id"),
-        F.element_at(names, tech_id).alias("name"),
+        name(tech_id).alias("name"),
         version.alias("version"),
         best["confidence"].alias("confidence"),
         proof.alias("evidence"),
@@ -140,7 +145,10 @@ def with_technologies(frame: DataFrame, fingerprints=FINGERPRINTS,
     The flags are NULL where the site has no pages: nothing was looked at, so
     nothing is published.
     """
-    ids, listed = _listing(tuple(fingerprints), tuple(latest.items()))
+    if isinstance(fingerprints, RulePack):
+        ids, listed = _pack_listing(fingerprints)
+    else:
+        ids, listed = _listing(tuple(fingerprints), tuple(latest.items()))
     techs = with_hits(frame, fingerprints).withColumn("tech_ids", ids).withColumn(
         "technologies", listed)
     primary, flags, cms = _summary()
@@ -149,14 +157,21 @@ def with_technologies(frame: DataFrame, fingerprints=FINGERPRINTS,
 
 @built_once
 def _listing(fingerprints: tuple, latest: tuple) -> tuple[Column, Column]:
-    names = literal_map({f.id: f.name for f in fingerprints})
-    categories = literal_map({f.id: f.category for f in fingerprints})
-    current = literal_map(dict(latest))
+    return _listed({f.id: f.name for f in fingerprints},
+                   {f.id: f.category for f in fingerprints}, dict(latest))
+
+
+@built_once
+def _pack_listing(pack: RulePack) -> tuple[Column, Column]:
+    return _listed(pack.names, pack.categories, pack.latest)
+
+
+def _listed(names: dict, categories: dict, latest: dict) -> tuple[Column, Column]:
+    name, category, current = lookup(names), lookup(categories), lookup(latest)
     ids = F.array_sort(F.transform(
         F.array_distinct(F.transform("hits", lambda h: h["tech_id"])),
-        lambda t: F.struct(F.element_at(categories, t).alias("category"), t.alias("tech_id"))))
-    listed = F.transform(
-        "tech_ids", lambda t: _technology(t["tech_id"], names, categories, current))
+        lambda t: F.struct(category(t).alias("category"), t.alias("tech_id"))))
+    listed = F.transform("tech_ids", lambda t: _technology(t["tech_id"], name, category, current))
     return ids, listed
 
 

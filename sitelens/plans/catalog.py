@@ -28,6 +28,7 @@ def load() -> None:
     from sitelens.plans import (  # noqa: F401
         catalog_analysis,
         catalog_crawl,
+        catalog_packs,
         catalog_results,
         catalog_scalars,
         catalog_sources,
