@@ -42,9 +42,10 @@ from pyspark.sql import functions as F
 from sitelens.session import written
 
 FACTOR, TOP = 64, 20
-PIVOTS, SAMPLE = 24, 2000
+PIVOTS, SAMPLE = 12, 2000
 BLOCK_ROWS, BLOCK_NUMBERS, STEP = 4096, 1 << 21, 256  # rows and components of a block; rows that are scored at once
-EXACT_FLOAT, EXACT_INT = 2.0**52, 2.0**62
+EXACT = ((2.0**23, np.float32), (2.0**52, np.float64), (2.0**62, np.int64))  # sums below are exact in these numbers
+MOST = np.finfo(np.float64).max
 BLOCK = ("block bigint, n bigint, dims int, ids binary, rows binary, vectors binary, distances binary, "
          "near array<double>, far array<double>, norm double")
 HIT = "query_row bigint, query_id bigint, vec_id bigint, score bigint"
@@ -136,16 +137,21 @@ def bounds(q_norm: np.ndarray, norms: np.ndarray, gap: np.ndarray) -> np.ndarray
     return (square - gap * gap) / 2 + margin(square)
 
 
-def products(x: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Exact inner products of rows of ``x`` with ``q``."""
-    # the sum of |x| times the greatest |q| bounds every partial sum
-    most = np.abs(x).sum(axis=1, dtype=np.float64).max(initial=0) * np.abs(q.astype(np.float64)).max(initial=0)
-    if most < EXACT_FLOAT:
-        return (x.astype(np.float64) @ q.astype(np.float64)).astype(np.int64)
-    if most < EXACT_INT:
-        return x @ q
-    exact = x.astype(object) @ q.astype(object)
-    return np.array([min(max(int(s), 1 - 2**63), 2**63 - 1) for s in exact], np.int64)
+class Products:
+    """Exact inner products of the rows of a block, in the cheapest numbers that hold them."""
+
+    def __init__(self, x: np.ndarray, q: np.ndarray) -> None:
+        # the sum of |x| of a row times the greatest |q| bounds every partial sum
+        most = np.abs(x).sum(axis=1, dtype=np.float64).max(initial=0) * np.abs(q.astype(np.float64)).max(initial=0)
+        kind = next((k for limit, k in EXACT if most < limit), object)
+        self.x, self.q = x.astype(kind), q.astype(kind)
+
+    def of(self, i: int, rows: np.ndarray) -> np.ndarray:
+        """Scores of query ``i`` with ``rows``; of many it is cheaper to take all than to gather them."""
+        scores = (self.x @ self.q[i])[rows] if 4 * len(rows) > len(self.x) else self.x[rows] @ self.q[i]
+        if scores.dtype == object:
+            return np.array([min(max(int(s), 1 - 2**63), 2**63 - 1) for s in scores], np.int64)
+        return scores.astype(np.int64)
 
 
 def first_of(scores: np.ndarray, ids: np.ndarray, rows: np.ndarray, top: int) -> np.ndarray:
@@ -153,23 +159,35 @@ def first_of(scores: np.ndarray, ids: np.ndarray, rows: np.ndarray, top: int) ->
 
 
 def search(q: dict, c: dict, limits: np.ndarray, top: int) -> Iterator[tuple]:
-    """For each query of a block: its first rows of the other block that can reach its limit."""
-    c_norm = c["distances"][:, 0]
+    """For each query of a block: its first rows of the other block that reach its limit.
+
+    Rows are scored in the order of their bounds, in steps that grow; none is left out
+    whose bound reaches the k-th score so far.
+    """
+    products, norms = Products(c["vectors"], q["vectors"]), c["distances"][:, 0]
+    table = np.ascontiguousarray(c["distances"].T)
     for i in range(len(q["ids"])):
-        gap = np.abs(c["distances"] - q["distances"][i]).max(axis=1)
-        bound = bounds(q["distances"][i, 0], c_norm, gap)
-        able = np.flatnonzero((bound >= limits[i]) & (c["rows"] != q["rows"][i]))
-        able = able[np.argsort(-bound[able])]
-        scores, at, least = np.empty(0, np.int64), np.empty(0, np.int64), limits[i]
-        for lo in range(0, len(able), STEP):
-            if bound[able[lo]] < least:
-                break
-            part = able[lo:lo + STEP]
-            scores, at = np.r_[scores, products(c["vectors"][part], q["vectors"][i])], np.r_[at, part]
+        gap = np.abs(table[0] - q["distances"][i, 0])
+        for pivot in range(1, len(table)):
+            np.maximum(gap, np.abs(table[pivot] - q["distances"][i, pivot]), out=gap)
+        bound = bounds(q["distances"][i, 0], norms, gap)
+        bound[c["rows"] == q["rows"][i]] = -np.inf
+        scores, at, least, step = np.empty(0, np.int64), np.empty(0, np.int64), limits[i], STEP
+        able = np.flatnonzero(bound >= max(least, -MOST))
+        while len(able):
+            if len(able) > step:
+                order = np.argpartition(-bound[able], step)
+                able, later = able[order[:step]], able[order[step:]]
+            else:
+                later = able[:0]
+            new = products.of(i, able)
+            good = new >= least
+            scores, at = np.r_[scores, new[good]], np.r_[at, able[good]]
             best = first_of(scores, c["ids"][at], c["rows"][at], top)
             scores, at = scores[best], at[best]
             if len(scores) == top:
                 least = max(least, float(scores[-1]))
+            able, step = later[bound[later] >= least], 4 * step
         yield i, c["ids"][at], scores
 
 
