@@ -181,13 +181,3 @@ DIAL_PLAN = {
     "380": (9, 9, "0"), "420": (9, 9, ""), "852": (8, 8, ""), "966": (8, 9, "0"),
     "971": (8, 9, "0"), "972": (8, 9, "0"),
 }
-
-# --- public suffixes used when the caller passes none -----------------------------------
-# The real list is a parameter; these are the common entries.
-DEFAULT_SUFFIXES = (
-    "com", "net", "org", "info", "biz", "io", "co", "dev", "app", "edu", "gov",
-    "uk", "co.uk", "org.uk", "ac.uk", "gov.uk", "de", "fr", "es", "it", "nl",
-    "be", "at", "ch", "se", "no", "dk", "fi", "pl", "pt", "ie", "eu", "us", "ca",
-    "au", "com.au", "net.au", "org.au", "nz", "co.nz", "jp", "co.jp", "in",
-    "co.in", "br", "com.br", "mx", "com.mx", "za", "co.za", "social",
-)

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sitelens.fixed import DEFAULT_SUFFIXES, SKIPPED_HREFS
-from sitelens.functions.columns import let
+from sitelens.fixed import SKIPPED_HREFS
+from sitelens.functions.columns import let, lookup
 
 AUTHORITY = r"^[^:/?#]*://(?:[^/?#]*@)?([^/?#:]*)"
 PARTS = r"(?s)^([A-Za-z][A-Za-z0-9+.\-]*)://([^/?#]*)([^?#]*)(\?[^#]*)?"
@@ -22,37 +22,48 @@ def url_path(url: Column) -> Column:
     return F.when(path.startswith("/"), path).otherwise(F.concat(F.lit("/"), path))
 
 
-def registrable(host: Column, suffixes=DEFAULT_SUFFIXES) -> Column:
-    """Label before the longest public suffix, plus that suffix.
+EXACT, WILD, EXCEPT = 1, 2, 4
 
-    ``suffixes`` is a suffix list in the published notation (``co.uk``,
-    ``*.ck``, ``!www.ck``). Membership is a hash-set test in the task, so the
-    cost per row does not depend on the length of the list.
+
+def suffix_table(suffixes) -> dict[str, int]:
+    """suffix -> what the rules say of it: a suffix, any label before it is one, or not."""
+    if suffixes is None:
+        raise ValueError("pass a public suffix list: see sitelens.sources.suffixes")
+    table: dict[str, int] = {}
+    for rule in suffixes:
+        name, bit = (rule[2:], WILD) if rule.startswith("*.") else (rule[1:], EXCEPT) if rule.startswith("!") else (rule, EXACT)
+        table[name] = table.get(name, 0) | bit
+    return table
+
+
+def registrable(host: Column, suffixes) -> Column:
+    """Label before the longest public suffix, plus that suffix; NULL without one.
+
+    ``suffixes`` is a suffix list in the published notation (``co.uk``, ``*.ck``,
+    ``!www.ck``). The tails of the host are looked up by hash, so the cost per row does
+    not depend on the length of the list. An exception makes the rest of it the suffix.
     """
-    exact = sorted({s for s in suffixes if s[0] not in "*!"})
-    wild = sorted({s[2:] for s in suffixes if s.startswith("*.")})
-    excepted = sorted({s[1:] for s in suffixes if s.startswith("!")})
+    found = lookup(suffix_table(suffixes), "int")
 
     def tail(labels: Column, start: Column) -> Column:
         return F.array_join(F.slice(labels, start + 1, F.size(labels)), ".")
 
-    def is_suffix(labels: Column, start: Column) -> Column:
-        test = tail(labels, start).isin(*exact)
-        if wild:
-            inside = (start + 1 < F.size(labels)) & tail(labels, start + 1).isin(*wild)
-            test = (test | inside) & ~tail(labels, start).isin(*(excepted or [""]))
-        return test
-
     def within(labels: Column) -> Column:
         starts = F.sequence(F.lit(0), F.size(labels) - 1)
-        cut = F.get(F.filter(starts, lambda i: is_suffix(labels, i)), F.lit(0))
-        return let(cut, lambda i: F.when(
-            (i >= 1) & (F.get(labels, i - 1) != ""), tail(labels, i - 1)))
+        return let(F.transform(starts, lambda i: F.coalesce(found(tail(labels, i)), F.lit(0))),
+                   lambda marks: let(cut(starts, marks), lambda i: F.when(
+                       (i >= 1) & (F.get(labels, i - 1) != ""), tail(labels, i - 1))))
+
+    def cut(starts: Column, marks: Column) -> Column:
+        has = lambda i, bit: F.coalesce(F.get(marks, i).bitwiseAND(bit) > 0, F.lit(False))
+        excepted = F.filter(starts, lambda i: (i > 0) & has(i - 1, EXCEPT))
+        listed = F.filter(starts, lambda i: has(i, EXACT) | has(i + 1, WILD))
+        return F.coalesce(F.get(excepted, F.lit(0)), F.get(listed, F.lit(0)))
 
     return let(F.split(F.regexp_replace(host, r"\.+$", ""), r"\."), within)
 
 
-def canonical_domain(value: Column, suffixes=DEFAULT_SUFFIXES) -> Column:
+def canonical_domain(value: Column, suffixes) -> Column:
     return let(F.lower(F.trim(value)), lambda raw: registrable(hostname_of(
         F.when(raw.contains("://"), raw).otherwise(F.concat(F.lit("http://"), raw))), suffixes))
 
@@ -71,7 +82,7 @@ def normalize_url(value: Column) -> Column:
         F.when(raw != "", F.concat(F.lit("https://"), raw))), normal)
 
 
-def same_site(a: Column, b: Column, suffixes=DEFAULT_SUFFIXES) -> Column:
+def same_site(a: Column, b: Column, suffixes) -> Column:
     """True when both reduce to one registrable domain; False otherwise."""
     x, y = canonical_domain(a, suffixes), canonical_domain(b, suffixes)
     return x.isNotNull() & y.isNotNull() & x.eqNullSafe(y)

@@ -62,7 +62,7 @@ def email_head(address: Column) -> Column:
     return F.regexp_extract(email_local(address), r"^([^._\-+]*)", 1)
 
 
-def email_owner(address: Column, suffixes=fixed.DEFAULT_SUFFIXES) -> Column:
+def email_owner(address: Column, suffixes) -> Column:
     return registrable(email_domain(address), suffixes)
 
 
@@ -237,7 +237,7 @@ def _addresses() -> Column:
 
 
 # --- assembly -----------------------------------------------------------------------------------
-def page_contacts(suffixes=fixed.DEFAULT_SUFFIXES, placeholders=fixed.PLACEHOLDER_DOMAINS,
+def page_contacts(suffixes, placeholders=fixed.PLACEHOLDER_DOMAINS,
                   dial_plan=None) -> Column:
     """All contacts of one page, as an array column over a pages row."""
     return F.concat(_emails(suffixes, placeholders), _phones(dial_plan), _socials(), _forms(),

@@ -212,7 +212,7 @@ def robots_blocked() -> Column:
 
 
 # --- links and the plan of pages ------------------------------------------------------------------
-def extract_links(pages: DataFrame, suffixes=fixed.DEFAULT_SUFFIXES) -> DataFrame:
+def extract_links(pages: DataFrame, suffixes) -> DataFrame:
     """Anchors that hint at contact or legal pages of the same site."""
     anchors = F.regexp_extract_all(without_hidden(F.col("html")), F.lit(ANCHOR), F.lit(0))
     one = pages.select("site", "page_no", F.col("final_url").alias("base"),

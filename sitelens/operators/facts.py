@@ -147,7 +147,7 @@ def _contact_facts(suffixes: tuple, placeholders: tuple, dial_plan: tuple) -> Co
 
 
 def page_facts(pages: DataFrame, fingerprints=FINGERPRINTS, parts=PARTS,
-               suffixes=fixed.DEFAULT_SUFFIXES, placeholders=fixed.PLACEHOLDER_DOMAINS,
+               suffixes=None, placeholders=fixed.PLACEHOLDER_DOMAINS,
                dial_plan=None) -> DataFrame:
     """Every fact of every page: (site, fact, key, ord, body, page_bytes)."""
     base = pages.withColumn("low", F.lower(F.coalesce(F.col("html"), F.lit(""))))
@@ -164,7 +164,7 @@ def page_facts(pages: DataFrame, fingerprints=FINGERPRINTS, parts=PARTS,
         lists.append(F.array_compact(F.array(*single)))
     if "contacts" in parts:
         plan = tuple((dial_plan or fixed.DIAL_PLAN).items())
-        lists.append(_contact_facts(tuple(suffixes), tuple(placeholders), plan))
+        lists.append(_contact_facts(None if suffixes is None else tuple(suffixes), tuple(placeholders), plan))
     every = lists[0] if len(lists) == 1 else F.concat(*lists)
     return base.select("site", "bytes", F.explode(every).alias("f")).select(
         "site", "f.fact", "f.key", "f.ord", "f.body",

@@ -60,7 +60,7 @@ def choose(only: str | None = None, disabled=()) -> list[str]:
 
 def analyze(sites: DataFrame, pages: DataFrame, *, only: str | None = None, disabled=(),
             fingerprints=FINGERPRINTS, latest=LATEST_VERSIONS, rules=OPPORTUNITY_RULES,
-            suffixes=fixed.DEFAULT_SUFFIXES, placeholders=fixed.PLACEHOLDER_DOMAINS,
+            suffixes=None, placeholders=fixed.PLACEHOLDER_DOMAINS,
             dial_plan=None, warn_days=fixed.CERT_EXPIRY_WARN_DAYS,
             slow_ttfb_ms=fixed.SLOW_TTFB_MS, check_ids=None, firsts=None,
             lists: bool = False) -> DataFrame:
@@ -119,7 +119,7 @@ def analyze_once(sites: DataFrame, pages: DataFrame, **options) -> dict[str, Dat
     """
     pack = options.get("fingerprints", FINGERPRINTS)
     firsts = written(facts.first_facts(facts.page_facts(
-        pages, pack, facts.PARTS, options.get("suffixes", fixed.DEFAULT_SUFFIXES),
+        pages, pack, facts.PARTS, options.get("suffixes"),
         options.get("placeholders", fixed.PLACEHOLDER_DOMAINS), options.get("dial_plan"))),
         "facts")
     frame = written(analyze(sites, pages, firsts=firsts, **options).drop(

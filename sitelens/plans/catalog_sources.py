@@ -118,7 +118,7 @@ def business_dedupe(spark, sf_dir):
 @register("src_url_list", "SELECT domain AS name, website_url, domain FROM targets "
                           "WHERE domain IS NOT NULL AND website_url IS NOT NULL", TARGETS)
 def src_url_list(spark, sf_dir):
-    return businesses.businesses_from_urls(raw_urls(spark, sf_dir), "raw", SUFFIXES)
+    return businesses.businesses_from_urls(raw_urls(spark, sf_dir), SUFFIXES, "raw")
 
 
 @register("business_status_init", "SELECT row_no, CASE WHEN website_url IS NULL THEN 'no_website' "
@@ -126,3 +126,41 @@ def src_url_list(spark, sf_dir):
 def business_status_init(spark, sf_dir):
     return judged(spark, sf_dir).select(
         "row_no", businesses.first_status(F.col("website_url")).alias("status"))
+
+
+# --- suffix rules from a table -------------------------------------------------------------------
+# a third of the nations is a suffix, a third makes suffixes of all labels below it (some with an
+# exception), and the rest is in no rule
+_NATION = "lower(replace(n_name, ' ', ''))"
+_SUFFIX_RULES = f"""
+SELECT {_NATION} AS suffix FROM nations WHERE n_nationkey % 3 = 0
+UNION ALL SELECT 'co.' || {_NATION} FROM nations WHERE n_nationkey % 6 = 0
+UNION ALL SELECT '*.' || {_NATION} FROM nations WHERE n_nationkey % 3 = 1
+UNION ALL SELECT '!www.' || {_NATION} FROM nations WHERE n_nationkey % 6 = 1
+UNION ALL SELECT '// a remark'"""
+_HOSTS = f"""
+SELECT c_custkey, CASE c_custkey % 7 WHEN 0 THEN 'https://A.b' || c_custkey || '.' || {_NATION} || ':8080/x?y#z'
+  WHEN 1 THEN {_NATION} WHEN 2 THEN 'www.' || {_NATION} WHEN 3 THEN ' x.WWW.' || {_NATION} || '. '
+  WHEN 4 THEN 'b' || c_custkey || '.co.' || {_NATION} WHEN 5 THEN 'http://user@k.co.' || {_NATION} || '/'
+  ELSE '.' || {_NATION} END AS raw FROM customer JOIN nations ON n_nationkey = c_nationkey"""
+
+
+@register("canonical_domain_table", f"""
+SELECT c_custkey, CASE WHEN coalesce(excepted, listed) > 1 AND l[coalesce(excepted, listed) - 1] <> ''
+  THEN array_to_string(l[coalesce(excepted, listed) - 1:], '.') END AS domain
+FROM hostlabels LEFT JOIN (SELECT c_custkey,
+    min(i) FILTER (i > 1 AND EXISTS (SELECT 1 FROM suffixrules WHERE suffix = '!' || array_to_string(l[i - 1:], '.'))) AS excepted,
+    min(i) FILTER (EXISTS (SELECT 1 FROM suffixrules WHERE suffix = array_to_string(l[i:], '.'))
+      OR (i < len(l) AND EXISTS (SELECT 1 FROM suffixrules WHERE suffix = '*.' || array_to_string(l[i + 1:], '.')))) AS listed
+  FROM hostlabels, unnest(range(1, len(l) + 1)) AS u(i) GROUP BY ALL) AS cuts USING (c_custkey)""", {
+    "nations": "SELECT * FROM nation", "suffixrules": _SUFFIX_RULES, "hosts": _HOSTS,
+    "hostlabels": "SELECT c_custkey, string_split(rtrim(regexp_replace(regexp_replace(regexp_replace(lower(trim(raw)), "
+                  "'^[a-z]+://', ''), '^[^@/]*@', ''), '[:/?#].*$', ''), '.'), '.') AS l FROM hosts"})
+def canonical_domain_table(spark, sf_dir):
+    from sitelens.functions.urls import canonical_domain
+    from sitelens.sources.suffixes import suffixes_from_table
+
+    for table in ("nation", "customer"):
+        spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView({"nation": "nations"}.get(table, table))
+    suffixes = suffixes_from_table(spark.sql(_SUFFIX_RULES))
+    return spark.sql(_HOSTS).select("c_custkey", canonical_domain(F.col("raw"), suffixes).alias("domain"))

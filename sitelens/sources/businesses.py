@@ -42,7 +42,7 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     return named.withColumn("row_no", F.monotonically_increasing_id() + 1)
 
 
-def judge_rows(rows: DataFrame, suffixes=fixed.DEFAULT_SUFFIXES) -> DataFrame:
+def judge_rows(rows: DataFrame, suffixes) -> DataFrame:
     """Business columns for every row, with ``reason`` where it is rejected."""
     roles = detect_roles([c for c in rows.columns if c != "row_no"])
     if "domain" not in roles:
@@ -82,8 +82,7 @@ def business_dedupe(valid: DataFrame, limit: int | None = None) -> DataFrame:
     return flat if limit is None else flat.orderBy("row_no").limit(limit)
 
 
-def read_businesses(spark: SparkSession, path: str, limit: int | None = None,
-                    suffixes=fixed.DEFAULT_SUFFIXES) -> tuple[DataFrame, DataFrame]:
+def read_businesses(spark: SparkSession, path: str, suffixes, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(businesses, row errors) of a CSV target list."""
     valid, errors = split_rows(judge_rows(read_csv(spark, path), suffixes))
     return business_dedupe(valid, limit), errors
@@ -97,8 +96,7 @@ def dry_run(judged: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
             unique.orderBy("row_no").limit(5))
 
 
-def businesses_from_urls(urls: DataFrame, column: str = "url",
-                         suffixes=fixed.DEFAULT_SUFFIXES) -> DataFrame:
+def businesses_from_urls(urls: DataFrame, suffixes, column: str = "url") -> DataFrame:
     """Targets from explicit addresses: invalid ones dropped, named by domain."""
     found = urls.select(canonical_domain(F.col(column), suffixes).alias("domain"),
                         normalize_url(F.col(column)).alias("website_url"))

@@ -27,7 +27,7 @@ def merged_facts(parts: DataFrame) -> DataFrame:
 
 
 def stream_analyze(pages: DataFrame, sites: DataFrame, out: str, checkpoint: str, *,
-                   fingerprints=FINGERPRINTS, suffixes=fixed.DEFAULT_SUFFIXES,
+                   fingerprints=FINGERPRINTS, suffixes=None,
                    placeholders=fixed.PLACEHOLDER_DOMAINS, dial_plan=None, **options):
     """Analyse the sites of each newly landed batch of pages.
 

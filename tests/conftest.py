@@ -9,6 +9,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 from sitelens.operators.facts import HOME_TYPE  # noqa: E402
 from sitelens.session import build_session  # noqa: E402
 
+SUFFIXES = ("com", "net", "org", "social", "uk", "co.uk", "de")
 CLOCK = dt.datetime(2026, 7, 30, 12, tzinfo=dt.timezone.utc)
 SITES = (
     "site string, requested_url string, final_url string, status string, failure_reason string, "
@@ -75,7 +76,7 @@ def analysed(spark):
 
     def run(sites, pages, **options):
         frame = analyze(spark.createDataFrame(sites, SITES), spark.createDataFrame(pages, PAGES),
-                        **options)
+                        **{"suffixes": SUFFIXES, **options})
         out: dict = {}
         for row in explode_findings(frame).collect():
             assert row["check_id"] not in out.setdefault(row["site"], {})

@@ -4,7 +4,7 @@ import re
 import time
 
 import pytest
-from conftest import PAGES, SITES, dns, page, site, tls
+from conftest import PAGES, SITES, SUFFIXES, dns, page, site, tls
 from pyspark.sql import functions as F
 
 from sitelens import fixed
@@ -15,7 +15,7 @@ from sitelens.rules import Fingerprint, Signal
 
 def contact_rows(spark, pages, **options):
     firsts = facts.first_facts(facts.page_facts(
-        spark.createDataFrame(pages, PAGES), parts=("contacts",), **options))
+        spark.createDataFrame(pages, PAGES), parts=("contacts",), suffixes=SUFFIXES, **options))
     return {(r["kind"], r["value"]): r for r in contacts.contacts(firsts).collect()}
 
 
@@ -73,7 +73,7 @@ def test_opportunities_and_scores(spark):
     sites = [site("gone.com", tls=tls(-5), dns=dns()), site("early.com", tls=tls(
         not_before=tls(30)["not_after"])), site("empty.com", status="failed", final_url=None)]
     frame = analyze(spark.createDataFrame(sites, SITES),
-                    spark.createDataFrame([page("gone.com"), page("early.com")], PAGES))
+                    spark.createDataFrame([page("gone.com"), page("early.com")], PAGES), suffixes=SUFFIXES)
     rules = {}
     for r in opportunities.explode_opportunities(frame).collect():
         rules.setdefault(r["site"], {})[r["rule_id"]] = r
@@ -118,7 +118,7 @@ def test_partition_count_does_not_matter(spark):
     base = spark.createDataFrame(pages, PAGES)
     results = []
     for n in (1, 3, 16):
-        frame = analyze(spark.createDataFrame([site()], SITES), base.repartition(n))
+        frame = analyze(spark.createDataFrame([site()], SITES), base.repartition(n), suffixes=SUFFIXES)
         row = frame.select("home.final_url", "primary_email", "n_contacts", F.to_json("scores")
                            .alias("s")).first()
         results.append(tuple(row))

@@ -1,6 +1,6 @@
 """Plans that hold at scale: sources stay out of shuffles, groups are limited early."""
 
-from conftest import PAGES, SITES, page, site
+from conftest import PAGES, SITES, SUFFIXES, page, site
 from pyspark.sql import functions as F
 
 from sitelens.functions.columns import top_rows
@@ -18,7 +18,7 @@ def plan(df) -> str:
 
 
 def test_page_source_is_read_once_and_never_shuffled(spark):
-    firsts = facts.first_facts(facts.page_facts(captured_pages(spark, SMALL)))
+    firsts = facts.first_facts(facts.page_facts(captured_pages(spark, SMALL), suffixes=SUFFIXES))
     text = plan(firsts)
     assert text.count("FileScan") == 1
     for line in text.splitlines():
@@ -42,13 +42,13 @@ def test_top_rows_limits_before_the_shuffle(spark):
 
 
 def test_no_cartesian_products(spark):
-    frame = facts.site_frame(captured_sites(spark, SMALL), captured_pages(spark, SMALL))
+    frame = facts.site_frame(captured_sites(spark, SMALL), captured_pages(spark, SMALL), suffixes=SUFFIXES)
     assert "CartesianProduct" not in plan(frame) and "NestedLoop" not in plan(frame)
 
 
 def test_written_table_round_trip(spark):
     df = contacts.contacts(facts.first_facts(facts.page_facts(
-        captured_pages(spark, SMALL), parts=("contacts",))))
+        captured_pages(spark, SMALL), parts=("contacts",), suffixes=SUFFIXES)))
     again = written(df, "contacts")
     assert again.schema == df.schema and again.exceptAll(df).count() == 0
 
@@ -58,7 +58,7 @@ def test_csv_import(spark, tmp_path):
     path.write_text("\ufeffCompany;Website URL;Town;Country\n"
                     "Acme;https://www.acme.com/x;York;gbr\n;;;\nBad;not a domain;;\n"
                     "Twin;ACME.com.;;\nBeta;beta.co.uk;;de\n", encoding="utf-8")
-    targets, errors = businesses.read_businesses(spark, str(path))
+    targets, errors = businesses.read_businesses(spark, str(path), SUFFIXES)
     rows = {r["domain"]: r for r in targets.collect()}
     assert set(rows) == {"acme.com", "beta.co.uk"}
     assert rows["acme.com"]["name"] == "Acme" and rows["acme.com"]["country_code"] == "GB"

@@ -3,7 +3,7 @@
 import re
 
 import pytest
-from conftest import PAGES, SITES, page, site
+from conftest import PAGES, SITES, SUFFIXES, page, site
 from pyspark.sql import functions as F
 
 from sitelens import rules
@@ -124,7 +124,7 @@ def test_plan_does_not_grow_with_the_pack(spark):
 
 def test_whole_analysis_takes_a_pack(spark):
     sites, pages = small(spark)
-    frame = analyze(sites, pages, fingerprints=load_pack(signals(spark, ROWS)))
+    frame = analyze(sites, pages, fingerprints=load_pack(signals(spark, ROWS)), suffixes=SUFFIXES)
     got = {r.site: sorted(t["tech_id"] for t in r.technologies) for r in frame.select("site", "technologies", "scores").collect()}
     assert got["a.com"] == ["ng", "odd", "old", "url", "wp"] and got["none.com"] == []
 
