@@ -41,6 +41,7 @@ from pyspark.sql import functions as F
 from sitelens.session import written
 
 SCALE, LEAST_DOCS, LIMIT = 1_000_000_000, 3, 200
+FITS = 2**63 // SCALE - 1
 HELD = 400_000  # entries that a task holds before it gives its counts away
 BLOCK = 1 << 22  # bytes that are cut into words at once
 GROUP = ["lang", "source"]
@@ -72,7 +73,7 @@ def as_batch(held: dict) -> pa.RecordBatch:
                            names=["lang", "source", "term", "n", "docs"])
 
 
-def counted(docs: DataFrame) -> DataFrame:
+def counted(docs: DataFrame, most: int = HELD) -> DataFrame:
     """(lang, source, term, n, docs), in parts that are still to be added up."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict = {}
@@ -87,7 +88,7 @@ def counted(docs: DataFrame) -> DataFrame:
                     seen.update(words)
                 rows.update(seen)
                 size += len(counts) - before
-                if size > HELD:
+                if size > most:
                     yield as_batch(held)
                     held, size = {}, 0
         yield as_batch(held)
@@ -112,9 +113,12 @@ def kept_terms(docs: DataFrame) -> DataFrame:
 
 
 def share(count: Column, total: Column, vocabulary: Column) -> Column:
-    """1 + floor(SCALE * (count + 1) / (total + vocabulary)), exactly."""
+    """1 + floor(SCALE * (count + 1) / (total + vocabulary)), exactly; in decimals only where 64 bits would not do."""
     wide = lambda c: c.cast("decimal(19,0)")
-    return F.call_function("div", wide(count + 1) * F.lit(SCALE).cast("decimal(10,0)"), F.nullif(wide(total + vocabulary), F.lit(0))) + 1
+    all_of = F.nullif(total + vocabulary, F.lit(0))
+    by = lambda value, all_: F.call_function("div", value, all_)
+    return F.when(count < FITS, by((count + 1) * SCALE, all_of)).otherwise(
+        by(wide(count + 1) * F.lit(SCALE).cast("decimal(10,0)"), wide(all_of))) + 1
 
 
 def divergence(p: Column, q: Column) -> Column:
