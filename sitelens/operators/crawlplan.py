@@ -12,7 +12,8 @@ from sitelens.functions.columns import any_contains, found, top_rows
 from sitelens.functions.html import page_classify, strip_tags, without_hidden
 from sitelens.functions.urls import canonical_domain, join_url, url_path
 
-ANCHOR = r"(?is)<a\s[^>]*?href\s*=\s*[^>]*>.*?</a\s*>"
+ANCHOR_START = r"(?i)(?=<a\s)"
+ANCHOR = r"(?is)^<a\s[^>]*?href\s*=\s*[^>]*>.*?(?:</a\s*>|\z)"
 ANCHOR_HREF = r"""(?is)^<a\s[^>]*?href\s*=\s*["']?([^"'\s>]*)"""
 
 
@@ -214,9 +215,10 @@ def robots_blocked() -> Column:
 # --- links and the plan of pages ------------------------------------------------------------------
 def extract_links(pages: DataFrame, suffixes) -> DataFrame:
     """Anchors that hint at contact or legal pages of the same site."""
-    anchors = F.regexp_extract_all(without_hidden(F.col("html")), F.lit(ANCHOR), F.lit(0))
-    one = pages.select("site", "page_no", F.col("final_url").alias("base"),
-                       F.explode(anchors).alias("anchor"))
+    # an anchor ends where the next one begins, so each part of the page is read once
+    parts = F.split(without_hidden(F.col("html")), ANCHOR_START)
+    one = pages.select("site", "page_no", F.col("final_url").alias("base"), F.explode(parts).alias("part")).select(
+        "site", "page_no", "base", F.regexp_extract("part", ANCHOR, 0).alias("anchor")).where("anchor <> ''")
     href = F.regexp_extract("anchor", ANCHOR_HREF, 1)
     hay = F.concat(F.lower(F.col("href")), F.lit(" "), F.lower(strip_tags(F.col("anchor"))))
     hinted = one.withColumn("href", href).where(any_contains(hay, fixed.LINK_HINTS))

@@ -9,7 +9,7 @@ from sitelens.functions import clock, html, urls, versions
 from sitelens.operators import checks, facts
 from sitelens.plans.catalog import register
 from sitelens.plans.catalog_analysis import first_facts
-from sitelens.plans.oracle_base import registrable, text_of, version_key
+from sitelens.plans.oracle_base import no_hidden, registrable, text_of, unescaped, version_key
 from sitelens.sources.captures import (
     SUFFIXES,
     captured_pages,
@@ -365,3 +365,20 @@ def hostname_match(spark, sf_dir):
         .drop("site")
 
 
+
+
+_TOKEN = r"(?s)<(/?[A-Za-z][^\s/>]*)([^>]*)>([^<]*)"
+_LINKED = r"""(?is)\shref\s*=\s*(?:"[^"]+"|''[^'']+''|[^\s"''>]+)"""
+
+
+@register("html_elements", f"""
+SELECT site, page_no, lower(ltrim(t.tag, '/')) AS tag, starts_with(t.tag, '/') AS closing, count(*) AS n,
+  count(*) FILTER (regexp_matches(t.inside, '{_LINKED}')) AS n_linked, sum(length({unescaped('t.txt')}))::BIGINT AS characters
+FROM (SELECT site, page_no, unnest(list_transform(range(1, len(a) + 1), lambda i: {{'tag': a[i], 'inside': b[i], 'txt': c[i]}})) AS t
+  FROM (SELECT site, page_no, regexp_extract_all(h, '{_TOKEN}', 1) AS a, regexp_extract_all(h, '{_TOKEN}', 2) AS b,
+    regexp_extract_all(h, '{_TOKEN}', 3) AS c FROM (SELECT site, page_no, {no_hidden('html')} AS h FROM pg_all))) GROUP BY ALL""")
+def html_elements(spark, sf_dir):
+    rows = html.page_elements(captured_pages(spark, sf_dir), "site", "page_no")
+    linked = F.coalesce(F.element_at("attributes", "href"), F.lit("")) != ""
+    return rows.groupBy("site", "page_no", "tag", "closing").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(linked).alias("n_linked"), F.sum(F.length("text")).alias("characters"))

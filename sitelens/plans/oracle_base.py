@@ -44,12 +44,16 @@ def registrable(host: str) -> str:
     return lambda_let(f"string_split(rtrim({host}, '.'), '.')", "l", inner)
 
 
-def text_of(html: str) -> str:
-    """Source to text: tags to blanks, entities decoded, blanks collapsed."""
-    out = f"regexp_replace({html}, '<[^>]*>', ' ', 'g')"
+def unescaped(out: str) -> str:
     for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'),
                          ("&#39;", "'"), ("&amp;", "&")):
         out = f"replace({out}, {q(entity)}, {q(char)})"
+    return out
+
+
+def text_of(html: str) -> str:
+    """Source to text: tags to blanks, entities decoded, blanks collapsed."""
+    out = unescaped(f"regexp_replace({html}, '<[^>]*>', ' ', 'g')")
     return f"trim(regexp_replace({out}, '[\\s\\x{{00A0}}]+', ' ', 'g'))"
 
 
