@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sitelens.plans.catalog import register
 from sitelens.plans.catalog_scalars import HOST_SQL, RAW, raw_urls
 from sitelens.plans.oracle_base import registrable
+from sitelens.session import work_folder
 from sitelens.sources import businesses, snapshots
 from sitelens.sources.captures import SUFFIXES, captured_pages, captured_sites
 
@@ -55,18 +57,22 @@ def sink_snapshot_json(spark, sf_dir):
 
 
 def target_list(spark, sf_dir):
-    """A target list as read from CSV: raw text columns in file order."""
-    return raw_urls(spark, sf_dir).select(
-        F.col("page_id").alias("row_no"),
+    """A target list written as CSV files in the shared folder, and read back by record."""
+    rows = raw_urls(spark, sf_dir).select(
         F.concat(F.lit("Biz "), F.col("page_id").cast("string")).alias("Company Name"),
         F.col("raw").alias("Website URL"),
         F.when(F.col("page_id") % 3 == 0, "Leeds").otherwise("").alias("Town"),
-        F.lit("gbr").alias("Country"))
+        F.lit("gbr").alias("Country"), "page_id")
+    path = f"{work_folder(spark)}/targets"
+    # sorted over several files: their names are in the order of the rows
+    rows.repartitionByRange(4, "page_id").sortWithinPartitions("page_id").drop("page_id").write.options(
+        header=True, sep=";", escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    return businesses.read_csv(spark, path)
 
 
 TARGETS = {**RAW, "targets": f"""
-SELECT page_id AS row_no, 'Biz ' || page_id AS name, trim(raw) AS cell, domain, website_url,
-  CASE WHEN page_id % 3 = 0 THEN 'Leeds' END AS city, 'GB' AS country_code,
+SELECT row_number() OVER (ORDER BY page_id) AS row_no, 'Biz ' || page_id AS name, trim(raw) AS cell, domain, website_url,
+  CASE WHEN page_id % 3 = 0 THEN 'Leeds' END AS city, 'GB' AS country_code, 'gbr' AS country,
   CASE WHEN trim(raw) = '' THEN 'empty domain' WHEN domain IS NULL OR website_url IS NULL THEN
   'not a valid domain: ''' || trim(raw) || '''' END AS reason
 FROM (SELECT *, {registrable(HOST_SQL)} AS domain, CASE WHEN page_id % 9 IN (4, 5) THEN NULL ELSE
@@ -78,7 +84,7 @@ def judged(spark, sf_dir):
     return businesses.judge_rows(target_list(spark, sf_dir), SUFFIXES)
 
 
-@register("src_business_csv", "SELECT row_no, name, website_url, domain, city, country_code FROM "
+@register("src_business_csv", "SELECT row_no, name, website_url, domain, city, country_code, country FROM "
                               "targets WHERE reason IS NULL", TARGETS)
 def src_business_csv(spark, sf_dir):
     return businesses.split_rows(judged(spark, sf_dir))[0].drop("source")
@@ -92,15 +98,22 @@ def csv_row_errors(spark, sf_dir):
 @register("csv_dry_run", """
 SELECT 'valid' AS part, count(DISTINCT domain) AS row_no, '' AS detail FROM targets WHERE reason
   IS NULL
+UNION ALL SELECT * FROM (VALUES ('column', 1, 'city=Town'), ('column', 2, 'country=Country'), ('column', 3, 'domain=Website URL'),
+  ('column', 4, 'name=Company Name')) AS roles
 UNION ALL (SELECT 'error', row_no, reason FROM targets WHERE reason IS NOT NULL ORDER BY row_no
   LIMIT 50)
 UNION ALL (SELECT 'sample', min(row_no), domain FROM targets WHERE reason IS NULL GROUP BY domain
   ORDER BY 2 LIMIT 5)""", TARGETS)
 def csv_dry_run(spark, sf_dir):
-    count, errors, sample = businesses.dry_run(judged(spark, sf_dir))
+    listed = target_list(spark, sf_dir)
+    count, errors, sample = businesses.dry_run(businesses.judge_rows(listed, SUFFIXES))
+    roles = businesses.detected_columns(spark, listed.columns)
+    position = F.row_number().over(Window.orderBy("role")).cast("bigint")
     return (
+        roles.select(F.lit("column").alias("part"), position.alias("row_no"),
+                     F.concat("role", F.lit("="), "header").alias("detail")).unionByName(
         count.select(F.lit("valid").alias("part"), F.col("valid").alias("row_no"),
-                     F.lit("").alias("detail"))
+                     F.lit("").alias("detail")))
         .unionByName(errors.select(F.lit("error").alias("part"), "row_no",
                                    F.col("reason").alias("detail")))
         .unionByName(sample.select(F.lit("sample").alias("part"), "row_no",
