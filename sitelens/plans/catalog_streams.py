@@ -15,11 +15,19 @@ from sitelens.sources.captures import SUFFIXES, captured_pages, captured_sites,
 from sitelens.streaming import jobs
 
 
+BATCHES = 3
+
+
 def arriving(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """A table as a file stream (the folder may hold more files later)."""
-    schema = spark.read.parquet(f"{sf_dir}/{table}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(
-        sf_dir)
+    """A table as a stream of several files, a batch each, in the order of their times."""
+    rows, folder = spark.read.parquet(f"{sf_dir}/{table}.parquet"), f"{work_folder(spark)}/landed"
+    ends = rows.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"))
+    part = F.width_bucket(F.unix_micros(F.col("ts").cast("timestamp")).cast("double"), F.unix_micros(F.col("lo").cast("timestamp")).cast("double"),
+                          F.unix_micros(F.col("hi").cast("timestamp")).cast("double"), F.lit(BATCHES))
+    numbered = rows.crossJoin(ends).withColumn("part", F.least(part, F.lit(BATCHES))).drop("lo", "hi")
+    for n in range(1, BATCHES + 1):  # one after the other: a stream takes files in the order they came
+        numbered.where(F.col("part") == n).drop("part").coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
 
 def status_events(spark, sf_dir) -> DataFrame:
@@ -35,7 +43,7 @@ GROUP BY user_id""")
 def stream_progress(spark, sf_dir):
     folder = work_folder(spark)
     jobs.stream_progress(status_events(spark, sf_dir), f"{folder}/out", f"{folder}/check")
-    return jobs.latest(spark, f"{folder}/out", ["scan_id"])
+    return jobs.progress_so_far(spark, f"{folder}/out", "scan_id bigint")
 
 
 @register("stream_progress_hourly", f"""
@@ -46,7 +54,7 @@ def stream_progress_hourly(spark, sf_dir):
     folder = work_folder(spark)
     jobs.stream_progress(status_events(spark, sf_dir), f"{folder}/out", f"{folder}/check",
                          window="1 hour")
-    rows = jobs.latest(spark, f"{folder}/out", ["slot", "scan_id"])
+    rows = jobs.progress_so_far(spark, f"{folder}/out", "slot struct<start:timestamp,end:timestamp>, scan_id bigint")
     return rows.select(F.unix_seconds("slot.start").alias("hour"), "scan_id", "total", "completed",
                        "failed")
 
@@ -58,13 +66,13 @@ def stream_dedupe(spark, sf_dir):
         F.col("ts").cast("timestamp").alias("event_time"), F.col("user_id").alias("scan_id"),
         F.col("event_type").alias("domain"))
     jobs.stream_dedupe(events, ["scan_id", "domain"], f"{folder}/out", f"{folder}/check")
-    return spark.read.parquet(f"{folder}/out").select("scan_id", "domain")
+    return spark.read.parquet(f"{folder}/out/rows").select("scan_id", "domain")
 
 
 @register("stream_change", """
 SELECT 'd' || user_id AS domain, epoch_us(ts) AS captured_us, before, after FROM (
   SELECT user_id, ts, lag(CAST(floor(value) AS INT)) OVER w AS before, CAST(floor(value) AS INT)
-    AS after FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts))
+    AS after FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, CAST(floor(value) AS INT)))
 WHERE before IS NOT NULL AND before <> after""")
 def stream_change(spark, sf_dir):
     folder = work_folder(spark)
@@ -87,7 +95,7 @@ def stream_analyze(spark, sf_dir):
     pages = spark.readStream.schema(landed.schema).option("maxFilesPerTrigger", 1).parquet(source)
     sites = captured_sites(spark, sf_dir)
     jobs.stream_analyze(pages, sites, f"{folder}/out", f"{folder}/check", suffixes=SUFFIXES)
-    return jobs.latest(spark, f"{folder}/out/scores", ["site"])
+    return jobs.analyzed(spark, f"{folder}/out").select("site", "lead", "website", "security", "opportunity")
 
 
 # --- the analyzer surface ------------------------------------------------------------------

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sitelens import fixed
@@ -10,6 +10,8 @@ from sitelens.operators import facts
 from sitelens.operators.scores import score_table
 from sitelens.plans.analyze import analyze
 from sitelens.rules import FINGERPRINTS
+from sitelens.session import written
+from sitelens.streaming.state import KeyedState
 
 
 def run_to_end(query_writer, checkpoint: str):
@@ -28,32 +30,50 @@ def merged_facts(parts: DataFrame) -> DataFrame:
 
 def stream_analyze(pages: DataFrame, sites: DataFrame, out: str, checkpoint: str, *,
                    fingerprints=FINGERPRINTS, suffixes=None,
-                   placeholders=fixed.PLACEHOLDER_DOMAINS, dial_plan=None, **options):
+                   placeholders=fixed.PLACEHOLDER_DOMAINS, dial_plan=None, buckets: int = 32, **options):
     """Analyse the sites of each newly landed batch of pages.
 
-    The pages of a site may come in any number of batches: the first facts of
-    each batch are stored (no page source), and a touched site is analysed from
-    the facts of all batches so far. ``latest()`` over ``out/scores`` gives one
-    row per site. A replayed batch writes the same files again.
+    The pages of a site may come in any number of batches: the first facts of a site are
+    kept as keyed state (no page source), and a touched site is analysed from those of all
+    its pages so far. ``analyzed(spark, out)`` gives one row of scores per site. A replayed
+    batch writes the same files again.
     """
+    kept, scores = analysis_state(out, buckets)
+
     def analyse(batch: DataFrame, batch_id: int) -> None:
-        spark, store = batch.sparkSession, f"{out}/facts"
-        found = facts.first_facts(facts.page_facts(
-            batch, fingerprints, facts.PARTS, suffixes, placeholders, dial_plan))
-        found.write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
-        known = spark.read.parquet(store).where(F.col("batch") <= batch_id)
-        touched = known.where(F.col("batch") == batch_id).select("site").distinct()
-        firsts = merged_facts(known.drop("batch").join(touched, "site", "left_semi"))
+        found = written(facts.first_facts(facts.page_facts(
+            batch, fingerprints, facts.PARTS, suffixes, placeholders, dial_plan)), "found")
+        touched = found.select("site").distinct()
+        kept.merge(found, batch_id, lambda old, new: merged_facts(old.unionByName(new)))
+        firsts = kept.at(batch.sparkSession, batch_id, found.schema, {
+            r[0] for r in touched.select(kept.bucket()).distinct().collect()}).join(touched, "site", "left_semi")
         scored = score_table(analyze(
             sites.join(touched, "site", "left_semi"), batch, fingerprints=fingerprints,
             suffixes=suffixes, placeholders=placeholders, dial_plan=dial_plan, firsts=firsts,
             **options))
-        scored.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(
-            f"{out}/scores/batch={batch_id}")
+        flat = scored.select("site", F.to_json(F.struct(*[c for c in scored.columns if c != "site"])).alias("scores"))
+        scores.merge(flat, batch_id, newer)
+        scored.limit(0).write.mode("overwrite").parquet(f"{out}/schema")
 
     return run_to_end(pages.writeStream.foreachBatch(analyse), checkpoint)
 
 
+def analysis_state(out: str, buckets: int = 32) -> tuple[KeyedState, KeyedState]:
+    return KeyedState(f"{out}/facts", ("site",), buckets), KeyedState(f"{out}/scores", ("site",), buckets)
+
+
+def analyzed(spark: SparkSession, out: str) -> DataFrame:
+    """The scores of every site that a stream has analysed so far."""
+    shape = spark.read.parquet(f"{out}/schema").drop("site").schema
+    rows = analysis_state(out)[1].latest(spark, "site string, scores string")
+    return rows.select("site", F.from_json("scores", shape).alias("s")).select("site", "s.*")
+
+
+def newer(old: DataFrame, new: DataFrame) -> DataFrame:
+    """The rows of ``new``, and those of other sites as they were."""
+    return old.join(new.select("site"), "site", "left_anti").unionByName(new)
+
+
 def progress(events: DataFrame, *, window: str | None = None, watermark: str = "1 day") -> DataFrame:
     """Completed and failed counts per scan (and per hour, with a window)."""
     keys = [F.col("scan_id")]
@@ -66,44 +86,78 @@ def progress(events: DataFrame, *, window: str | None = None, watermark: str = "
         F.count_if(F.col("status").isin("failed", "no_website")).alias("failed"))
 
 
-def stream_progress(events: DataFrame, out: str, checkpoint: str, **options):
-    """Keep the latest counts: every batch writes the keys that changed."""
+COUNTS = "total bigint, completed bigint, failed bigint"
+
+
+def stream_progress(events: DataFrame, out: str, checkpoint: str, *, buckets: int = 32, **options):
+    """Keep the latest counts per scan (and hour, with a window): keyed state that every
+    batch updates. Without a window the counts of a batch are added to those so far; with
+    one, Spark keeps the open hours and the closed ones leave its memory.
+    """
+    windowed = options.get("window") is not None
+    keys = ("slot", "scan_id") if windowed else ("scan_id",)
+    state = KeyedState(out, keys, buckets)
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        counts = [c.split()[0] for c in COUNTS.split(", ")]
+        if windowed:  # the stream has aggregated: a key that changed comes with its whole count
+            state.merge(batch.select(*keys, *counts), batch_id, lambda old, new: old.join(
+                new, list(keys), "left_anti").unionByName(new))
+        else:
+            state.merge(written(progress(batch), "counts").select(*keys, *counts), batch_id, lambda old, new: old.unionByName(
+                new).groupBy(*keys).agg(*[F.sum(c).alias(c) for c in counts]))
+
+    if windowed:
+        return run_to_end(progress(events, **options).writeStream.outputMode("update").foreachBatch(store), checkpoint)
+    return run_to_end(events.writeStream.foreachBatch(store), checkpoint)
+
+
+def progress_so_far(spark: SparkSession, out: str, schema: str) -> DataFrame:
+    """What ``stream_progress`` knows; ``schema`` is that of its keys."""
+    return KeyedState(out, ()).latest(spark, f"{schema}, {COUNTS}")
+
+
+def stream_dedupe(events: DataFrame, keys: list[str], out: str, checkpoint: str, *, buckets: int = 32):
+    """The first row of each key, whenever it comes again: the keys seen so far are keyed
+    state, met by an exact anti-join in the buckets that a batch touches.
+
+    Of rows of one key in one batch the one of the least ``event_time`` counts, on ties the
+    least of the other columns; a row that comes in a later batch is a repeat, even if its
+    time is earlier. Null keys are keys like others.
+    """
+    state = KeyedState(f"{out}/seen", tuple(keys), buckets)
+
     def store(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(
-            f"{out}/batch={batch_id}")
+        rest = [c for c in batch.columns if c not in (*keys, "event_time")]
+        body = F.struct("event_time", *rest)
+        first = written(batch.groupBy(*keys).agg(F.min(body).alias("r")).select(*keys, "r.*").select(*batch.columns), "first")
+        seen = state.merge(first.select(*keys), batch_id, lambda old, new: old.unionByName(new).distinct())
+        same = [first[k].eqNullSafe(seen[k]) for k in keys]
+        first.join(seen, same, "left_anti").write.mode("overwrite").parquet(f"{out}/rows/batch={batch_id}")
 
-    return run_to_end(
-        progress(events, **options).writeStream.outputMode("update").foreachBatch(store),
-        checkpoint)
+    return run_to_end(events.writeStream.foreachBatch(store), checkpoint)
 
 
-def latest(spark: SparkSession, out: str, keys: list[str]) -> DataFrame:
-    """The newest stored row per key of an update stream."""
-    rows = spark.read.option("recursiveFileLookup", "true").parquet(out)
-    kept = [c for c in rows.columns if c not in (*keys, "batch_id")]
-    return rows.groupBy(*keys).agg(F.max_by(F.struct(*kept), "batch_id").alias("r")).select(
-        *keys, "r.*")
+CAPTURE = "domain string, captured_at timestamp, score int"
 
 
-def stream_dedupe(events: DataFrame, keys: list[str], out: str, checkpoint: str,
-                  watermark: str = "40 days"):
-    """First row per key within the watermark."""
-    unique = events.withWatermark("event_time", watermark).dropDuplicatesWithinWatermark(keys)
-    return run_to_end(unique.writeStream.format("parquet").option("path", out), checkpoint)
+def in_order() -> list[Column]:
+    """Captures of one moment are in the order of their scores."""
+    return [F.col("captured_at"), F.col("score")]
 
 
 def changes(batch: DataFrame, before: DataFrame | None) -> DataFrame:
     """Score changes of each domain against its previous capture.
 
-    ``before`` holds the last score per domain from earlier batches. A domain's
+    ``before`` holds the last capture per domain from earlier batches. A domain's
     captures are cut into hours: inside an hour a window finds the previous
     capture, and the first of an hour takes the last score of the hour before.
     A domain with most of the rows is thereby spread over its hours.
     """
     rows = batch.withColumn("hour", F.date_trunc("hour", "captured_at"))
-    inside = Window.partitionBy("domain", "hour").orderBy("captured_at")
+    inside = Window.partitionBy("domain", "hour").orderBy(*in_order())
     paired = rows.withColumn("near", F.lag("score").over(inside))
-    hours = rows.groupBy("domain", "hour").agg(F.max_by("score", "captured_at").alias("closing"))
+    hours = rows.groupBy("domain", "hour").agg(F.max_by("score", F.struct(*in_order())).alias("closing"))
     opening = hours.withColumn("earlier", F.lag("closing").over(
         Window.partitionBy("domain").orderBy("hour"))).drop("closing")
     joined = paired.join(opening, ["domain", "hour"])
@@ -117,26 +171,31 @@ def changes(batch: DataFrame, before: DataFrame | None) -> DataFrame:
         "domain", "captured_at", "before", F.col("score").alias("after"))
 
 
-def last_scores(batch: DataFrame, before: DataFrame | None) -> DataFrame:
-    seen = batch.select("domain", "captured_at", "score")
-    if before is not None:
-        seen = seen.unionByName(before)
-    return seen.groupBy("domain").agg(
-        F.max("captured_at").alias("captured_at"), F.max_by("score", "captured_at").alias("score"))
+def last_captures(old: DataFrame, new: DataFrame) -> DataFrame:
+    order = F.struct(*in_order())
+    return old.unionByName(new).groupBy("domain").agg(F.max(order).alias("o")).select("domain", "o.*")
 
 
-def stream_change(captures: DataFrame, out: str, checkpoint: str):
+def stream_change(captures: DataFrame, out: str, checkpoint: str, *, buckets: int = 32):
     """Emit a row whenever a domain's score differs from its previous capture.
 
-    The last score per domain is a table next to the output, one version per
-    batch; a replayed batch reads the version before it and writes the same.
+    The last capture per domain is keyed state: a batch rewrites the buckets of its domains
+    only. A capture older than the last one known when its batch begins is late: it goes to
+    ``out/late`` and changes nothing. Rows without a domain, time or score are left out.
     """
+    state = KeyedState(f"{out}/state", ("domain",), buckets)
+
     def detect(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        # only the first batch may start without state: a lost state is an error, not a new start
-        before = spark.read.parquet(f"{out}/state/batch={batch_id - 1}") if batch_id else None
-        changes(batch, before).write.mode("overwrite").parquet(f"{out}/rows/batch={batch_id}")
-        last_scores(batch, before).write.mode("overwrite").parquet(
-            f"{out}/state/batch={batch_id}")
+        rows = batch.select("domain", "captured_at", F.col("score").cast("int").alias("score")).dropna()
+        touched = {r[0] for r in rows.select(state.bucket()).distinct().collect()}
+        before = state.at(spark, batch_id - 1, CAPTURE, touched)
+        known = before.select("domain", F.col("captured_at").alias("known_at"))
+        timed = written(rows.join(known, "domain", "left").withColumn(
+            "late", F.coalesce(F.col("captured_at") < F.col("known_at"), F.lit(False))), "timed")
+        fresh = timed.where("NOT late").select("domain", "captured_at", "score")
+        timed.where("late").select("domain", "captured_at", "score").write.mode("overwrite").parquet(f"{out}/late/batch={batch_id}")
+        changes(fresh, before).write.mode("overwrite").parquet(f"{out}/rows/batch={batch_id}")
+        state.merge(fresh, batch_id, last_captures, schema=CAPTURE)
 
     return run_to_end(captures.writeStream.foreachBatch(detect), checkpoint)
