@@ -10,6 +10,7 @@ from sitelens.plans.catalog import register
 from sitelens.plans.catalog_analysis import tech_frame
 from sitelens.plans.oracle_base import col
 from sitelens.plans.stored import stored_contacts, stored_sites
+from sitelens.session import work_folder
 from sitelens.sources.captures import captured_sites, spark_sql
 
 BRAND = "upper(substr(site, 1, strpos(site, '.') - 1))"
@@ -379,6 +380,23 @@ def upsert_result(spark, sf_dir):
     return results.upsert(table("A", "old"), table("B", "new"))
 
 
+@register("scans_stored", """
+SELECT 'B' AS scan_id, site, security FROM scores_B UNION ALL SELECT 'A', site, security FROM scores_A WHERE security > 50""")
+def scans_stored(spark, sf_dir):
+    """Scan A, B, A again with fewer sites, a replay of the first, a write that dies, and a scan that is deleted."""
+    from sitelens.operators import scan_store
+
+    path = f"{work_folder(spark)}/scans"
+    table = lambda scan: scores.score_table(stored_sites(spark, sf_dir, scan)).select("site", "security")
+    scan_store.store_scan({"scores": table("A")}, path, "A", "first")
+    scan_store.store_scan({"scores": table("B")}, path, "B", "first")
+    scan_store.store_scan({"scores": table("A").where("security > 50")}, path, "A", "second")
+    scan_store.store_scan({"scores": table("A")}, path, "A", "first")
+    scan_store.store_scan({"scores": table("B")}, path, "C", "first")
+    scan_store.delete_scan(spark, path, "C")
+    return scan_store.read_scans(spark, path, "scores").select("scan_id", "site", "security")
+
+
 @register("cascade_delete", "SELECT l_orderkey AS scan_id, count(*) AS n FROM lineitem WHERE "
                             "l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE "
                             "o_orderstatus = 'P') GROUP BY ALL")

@@ -13,16 +13,16 @@ from sitelens.sources import businesses, snapshots
 from sitelens.sources.captures import SUFFIXES, captured_pages, captured_sites
 
 
-def _payloads(spark, sf_dir):
-    """Site rows as JSON text, then parsed back through the snapshot schema."""
-    text = captured_sites(spark, sf_dir).drop("seed").select(
-        "site", snapshots.site_payload().alias("payload"))
-    parsed = F.from_json("payload", snapshots.SNAPSHOT)
-    return text.select("site", parsed.alias("s")).select(
-        F.col("site").alias("domain"), *[f"s.{c}" for c in (
-            "requested_url", "final_url", "status", "captured_at", "http_status", "render_mode",
-            "redirect_chain", "failure_reason", "failure_detail", "tls", "dns", "cookies",
-            "robots", "timings", "duration_ms", "schema_version")])
+def documents(spark, sf_dir) -> snapshots.Snapshots:
+    """The captures written as nested documents in the shared folder, beside some that are unusable, and read back."""
+    path = f"{work_folder(spark)}/documents"
+    sites, pages = captured_sites(spark, sf_dir).drop("seed"), captured_pages(spark, sf_dir)
+    snapshots.write_documents(sites, pages, f"{path}/a", per_document=3)
+    spoiled = sites.select(F.concat(F.lit('{"domain":"'), "site", F.lit('", ')).alias("value")).union(
+        sites.select(F.concat(F.lit('{"domain":"'), "site", F.lit('","schema_version":2}')))).union(
+        sites.select(F.concat(F.lit('{"requested_url":"https://'), "site", F.lit('/"}'))))
+    spoiled.write.text(f"{path}/b")
+    return snapshots.read_documents(spark, f"{path}/*")
 
 
 _ROUND_TRIP = """
@@ -35,7 +35,7 @@ SELECT site, requested_url, final_url, CASE WHEN failed THEN 'failed' ELSE 'comp
 
 @register("src_snapshot_json", _ROUND_TRIP)
 def src_snapshot_json(spark, sf_dir):
-    sites = snapshots.complete_sites(_payloads(spark, sf_dir))
+    sites = documents(spark, sf_dir).sites
     micros = lambda c: F.unix_micros(F.col(c))
     return sites.select(
         "site", "requested_url", "final_url", "status", micros("captured_at").alias("captured_us"),
@@ -47,13 +47,16 @@ def src_snapshot_json(spark, sf_dir):
 @register("sink_snapshot_json", "SELECT site, page_no, status, h_server AS server, md5(html) AS "
                                 "digest FROM pg_all")
 def sink_snapshot_json(spark, sf_dir):
-    """Page rows to JSON and back without loss."""
-    pages = captured_pages(spark, sf_dir)
-    back = pages.select("site", F.from_json(F.to_json(F.struct("*")), snapshots.PAGE_COLUMNS)
-                        .alias("p"))
-    return back.select("site", "p.page_no", "p.status",
-                       F.element_at("p.headers", "server").alias("server"),
-                       F.md5("p.html").alias("digest"))
+    """Pages in nested documents and back without loss."""
+    return documents(spark, sf_dir).pages.select(
+        "site", "page_no", "status", F.element_at("headers", "server").alias("server"), F.md5("html").alias("digest"))
+
+
+@register("snapshot_rejects", """
+SELECT reason, count(*) AS documents FROM (SELECT unnest(['not a snapshot document', 'version 2', 'no domain']) AS reason
+FROM sx_all) GROUP BY reason""")
+def snapshot_rejects(spark, sf_dir):
+    return documents(spark, sf_dir).rejects.groupBy("reason").agg(F.count(F.lit(1)).alias("documents"))
 
 
 def target_list(spark, sf_dir):

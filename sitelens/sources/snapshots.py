@@ -7,10 +7,13 @@ stores page rows next to site rows.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitelens.functions.clock import ensure_utc
+from sitelens.session import written
 
 PAGE_COLUMNS = (
     "page_no bigint, url string, final_url string, status int, headers map<string,string>, "
@@ -108,6 +111,54 @@ def read_snapshots(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     return parse_snapshots(spark.read.schema(SNAPSHOT).json(path))
 
 
+VERSION = 1
+PAGES_PER_DOCUMENT = 200
+
+
+class Snapshots(NamedTuple):
+    """What a folder of snapshot files holds: usable sites and pages, and the documents that are not."""
+
+    sites: DataFrame
+    pages: DataFrame
+    rejects: DataFrame  # document, reason
+
+
+def read_documents(spark: SparkSession, path: str) -> Snapshots:
+    """Nested documents, one a line. Absent keys get their defaults.
+
+    A document that is no JSON, has no domain or is of a newer version is rejected with a
+    reason. A site may come in several documents with parts of its pages; its own fields
+    are those of the latest capture (on ties the greatest document counts).
+    """
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    read = lines.select("value", F.from_json("value", SNAPSHOT + ", _corrupt string", {
+        "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("s"))
+    reason = (
+        F.when(F.col("s").isNull() | F.col("s._corrupt").isNotNull(), "not a snapshot document")
+        .when(F.coalesce(F.trim("s.domain"), F.lit("")) == "", "no domain")
+        .when(F.coalesce("s.schema_version", F.lit(VERSION)) > VERSION, F.concat(F.lit("version "), F.col("s.schema_version").cast("string")))
+    )
+    judged = written(read.withColumn("reason", reason), "documents")
+    good = judged.where("reason IS NULL").select("value", "s.*").drop("_corrupt")
+    sites = complete_sites(good.withColumn("pages", F.lit(None).cast(f"array<{PAGE}>")).groupBy("domain").agg(
+        F.max_by(F.struct(*[c for c in good.columns if c not in ("domain", "pages", "value")]), F.struct("captured_at", "value")).alias("r"))
+        .select("domain", "r.*"))
+    return Snapshots(sites, complete_pages(good), judged.where("reason IS NOT NULL").select(F.col("value").alias("document"), "reason"))
+
+
+def write_documents(sites: DataFrame, pages: DataFrame, path: str, per_document: int = PAGES_PER_DOCUMENT) -> None:
+    """Nested documents, one a line. The pages of a site are dealt to as many documents as it
+    takes for each to hold about ``per_document``, so no site is gathered into one row."""
+    names = [c.split()[0] for c in PAGE_COLUMNS.split(", ")]
+    parts = pages.groupBy("site").agg(F.ceil(F.count(F.lit(1)) / per_document).cast("int").alias("parts"))
+    page = F.struct(*[F.col(c) for c in names if c in pages.columns])
+    dealt = pages.join(parts, "site").groupBy("site", F.pmod(F.xxhash64("page_no"), "parts").alias("part")).agg(
+        F.collect_list(page).alias("pages"))
+    form = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ssXXX"}
+    document = F.struct(F.col("site").alias("domain"), *[F.col(c) for c in sites.columns if c != "site"], "pages")
+    sites.join(dealt, "site", "left").select(F.to_json(document, form).alias("value")).write.text(path)
+
+
 def site_payload() -> Column:
     """A site row as JSON; timestamps in ISO form, absent values left out."""
     return F.to_json(F.struct("*"), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ssXXX"})
