@@ -225,6 +225,8 @@ def phrases_of(shards_: DataFrame, frequent: DataFrame, buckets: int) -> DataFra
                 index = FMIndex(text, len(number))
                 two = index.left(index.words())
                 for found in (two, index.right(two)):
+                    if not len(found.count):  # no two frequent words stand beside each other
+                        continue
                     words = tuple(number[w] for w in found.words)
                     bucket = bucket_of(words, buckets)
                     by = np.argsort(bucket, kind="stable")
