@@ -43,7 +43,7 @@ BINS, BANDS = 128, 32
 SIMILARITY_PERCENT = 80
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))  # A-Z only
 REMEMBERED_WORDS = 500_000
-SKETCH = "doc_id bigint, n_shingles int, class binary, bands array<bigint>"
+SKETCH = "doc_id bigint, text_hash bigint, n_shingles int, class binary, bands array<bigint>"
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -123,15 +123,15 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
         shingler = Shingler(width)
         for batch in batches:
             sizes, names, keys = [], [], []
-            for value in batch.column(1):
+            for value in batch.column(2):
                 shingles = shingler(value.as_py())
                 sizes.append(len(shingles))
                 names.append(name_of(shingles))
                 keys.append(band_keys(sketch(shingles)) if len(shingles) else np.empty(0, np.int64))
             ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
             bands = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(keys) if keys else [], pa.int64()))
-            yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int32()), pa.array(names, pa.binary()), bands],
-                                  names=["doc_id", "n_shingles", "class", "bands"])
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(sizes, pa.int32()), pa.array(names, pa.binary()), bands],
+                                  names=["doc_id", "text_hash", "n_shingles", "class", "bands"])
 
     return docs.mapInArrow(run, SKETCH)
 
@@ -220,9 +220,9 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def cluster(docs: DataFrame, width: int, percent: int = SIMILARITY_PERCENT,
             id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for every row."""
+    """doc_id, n_shingles, component_id and kept for every row, and the hash of its text, which tells rows of one id apart."""
     rows = docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    drawn = written(sketches(rows, width), "sketches")
+    drawn = written(sketches(rows.select("doc_id", F.xxhash64("text").alias("text_hash"), "text"), width), "sketches")
     named = drawn.filter(F.col("class").isNotNull() & F.col("doc_id").isNotNull())
     classes = named.groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"),
                                          F.first("bands").alias("bands"))
@@ -248,7 +248,7 @@ def cluster(docs: DataFrame, width: int, percent: int = SIMILARITY_PERCENT,
         joined.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     names = roots.select("class", "root").join(
         roots.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("class", "component_id")
-    out = drawn.select("doc_id", F.col("n_shingles").cast("bigint").alias("n_shingles"), "class").join(names, "class", "left")
+    out = drawn.select("doc_id", "text_hash", F.col("n_shingles").cast("bigint").alias("n_shingles"), "class").join(names, "class", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"),
-                      F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+                      F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "text_hash")

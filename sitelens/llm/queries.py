@@ -52,7 +52,7 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sitelens.llm.near_dup import cluster
 
-    return cluster(table(spark, sf_dir, "documents"), width=2)
+    return cluster(table(spark, sf_dir, "documents"), width=2).drop("text_hash")
 
 
 @register
