@@ -96,19 +96,39 @@ def ipv6_digits(ip: Column) -> Column:
     return F.when(low.contains(":") & fits & proper, F.array_join(F.transform(filled, lambda g: F.lpad(g, 4, "0")), ""))
 
 
+DOTTED_TAIL = r"^(.*:)(\d{1,3}(?:\.\d{1,3}){3})$"
+# an IPv4 address inside an IPv6 one (fixed values): mapped, and the prefix of translation
+EMBEDDED = ("00000000000000000000ffff", "0064ff9b0000000000000000")
+
+
+def hexadecimal_tail(ip: Column) -> Column:
+    """An IPv6 address whose end is written as an IPv4 one, in groups throughout."""
+    number = ipv4_number(F.regexp_extract(ip, DOTTED_TAIL, 2))
+    groups = F.lower(F.concat(F.hex(F.shiftright(number, 16)), F.lit(":"), F.hex(number.bitwiseAND(65535))))
+    return F.when(ip.rlike(DOTTED_TAIL), F.concat(F.regexp_extract(ip, DOTTED_TAIL, 1), groups)).otherwise(ip)
+
+
 def is_public_address(ip: Column) -> Column:
-    """False for the blocked ranges and for anything that is no address."""
-    number = ipv4_number(ip)
-    blocked = F.lit(False)
-    for block in fixed.BLOCKED_IPV4:
-        net = ipaddress.ip_network(block)
-        blocked = blocked | number.between(int(net[0]), int(net[-1]))
-    digits, six_blocked = ipv6_digits(ip), F.lit(False)
+    """False for the blocked ranges and for anything that is no address.
+
+    An IPv4 address inside an IPv6 one is judged as itself, in either spelling.
+    """
+    def is_blocked(number: Column) -> Column:
+        blocked = F.lit(False)
+        for block in fixed.BLOCKED_IPV4:
+            net = ipaddress.ip_network(block)
+            blocked = blocked | number.between(int(net[0]), int(net[-1]))
+        return blocked
+
+    number, digits = ipv4_number(ip), ipv6_digits(hexadecimal_tail(ip))
+    six_blocked = digits == "0" * 32
     for block in fixed.BLOCKED_IPV6:
         net = ipaddress.ip_network(block)
         first, last = (f"{int(end):032x}" for end in (net[0], net[-1]))
         six_blocked = six_blocked | digits.between(first, last)
-    return F.when(number.isNotNull(), ~blocked).when(digits.isNotNull(), ~six_blocked).otherwise(False)
+    inner = F.when(F.substring(digits, 1, 24).isin(*EMBEDDED), F.conv(F.substring(digits, 25, 8), 16, 10).cast("bigint"))
+    return F.when(number.isNotNull(), ~is_blocked(number)).when(inner.isNotNull(), ~is_blocked(inner)).when(
+        digits.isNotNull(), ~six_blocked).otherwise(False)
 
 
 def allowed_port(url: Column) -> Column:
@@ -137,22 +157,29 @@ def robots_matches(path: Column, rule: Column) -> Column:
 def robots_allowed(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """Adds ``allowed``: the longest matching rule decides, allow wins a tie.
 
-    ``rules`` holds (site, verdict, rule). The rules of one site are first
-    packed into its row (a robots file is bounded in size), so the join stays a
-    plain equality on the site with one row per site on its right side.
+    ``rules`` holds (site, verdict, rule). A plain rule matches the paths that it is a prefix
+    of, so paths are dealt out as their prefixes and meet the rules by equality, however
+    many a site has; rules that ask for the whole path meet it whole. Only rules with ``*``
+    are tried one by one.
     """
-    packed = rules.where("rule <> ''").groupBy("site").agg(
-        F.collect_set(F.struct("verdict", "rule")).alias("robots"))
+    known = rules.where("rule <> ''").select("site", "verdict", "rule", F.length("rule").alias("size")).distinct()
+    whole = known.where(F.col("rule").endswith("$"))
+    starred = known.where(~F.col("rule").endswith("$") & F.col("rule").contains("*"))
+    plain = known.where(~F.col("rule").endswith("$") & ~F.col("rule").contains("*"))
     path = F.regexp_replace(url_path(F.col("url")), "^$", "/")
-    joined = urls.join(packed, "site", "left").withColumn("path", path)
-
-    def longest(verdict: str) -> Column:
-        hits = F.filter("robots", lambda r: (
-            (r["verdict"] == verdict) & robots_matches(F.col("path"), r["rule"])))
-        return F.coalesce(F.array_max(F.transform(hits, lambda r: F.length(r["rule"]))), F.lit(-1))
-
-    allowed = (longest("disallow") < 0) | (longest("allow") >= longest("disallow"))
-    return joined.withColumn("allowed", allowed).drop("robots", "path")
+    placed = urls.withColumn("path", path)
+    paths = placed.select("site", "path").where("path IS NOT NULL").distinct()
+    prefixes = paths.select("site", "path", F.explode(F.sequence(F.lit(1), F.length("path"))).alias("n")).select(
+        "site", "path", F.expr("substring(path, 1, n)").alias("rule"))
+    hits = prefixes.join(plain, ["site", "rule"]).select("site", "path", "verdict", "size").unionByName(
+        paths.join(whole.withColumn("path", F.expr("substring(rule, 1, size - 1)")), ["site", "path"]).select(
+            "site", "path", "verdict", "size")).unionByName(
+        paths.join(starred, "site").where(robots_matches(F.col("path"), F.col("rule"))).select("site", "path", "verdict", "size"))
+    longest = lambda verdict: F.coalesce(F.max(F.when(F.col("verdict") == verdict, F.col("size"))), F.lit(-1))
+    denied = hits.groupBy("site", "path").agg(longest("allow").alias("yes"), longest("disallow").alias("no")).where(
+        "no >= 0 AND yes < no").select("site", "path", F.lit(False).alias("allowed"))
+    return placed.join(denied, ["site", "path"], "left").select(
+        *urls.columns, F.coalesce("allowed", F.lit(True)).alias("allowed"))
 
 
 ROBOTS_LINE = r"^\s*([A-Za-z-]+)\s*:\s*(.*?)\s*(?:#.*)?$"
