@@ -113,16 +113,25 @@ def analyzer_single(spark, sf_dir):
     return shown(checks.explode_findings(frame(spark, sf_dir, only="dns")))
 
 
-@register("analyzer_listing", "SELECT analyzer, count(*) AS findings, count(DISTINCT site) AS sites "
-                              "FROM f_all GROUP BY analyzer")
+def _described() -> list[tuple[str, ...]]:
+    return [(n, a.name, a.kind, ",".join(a.depends_on), ",".join(a.provides)) for n, a in ANALYZERS.items()]
+
+
+_LISTED = ", ".join("(" + ", ".join(f"'{v}'" for v in row) + ")" for row in _described())
+
+
+@register("analyzer_listing", f"""
+SELECT l.*, count(f.site) AS findings, count(DISTINCT f.site) AS sites
+FROM (VALUES {_LISTED}) AS l(analyzer, name, kind, depends_on, provides)
+LEFT JOIN (SELECT site, analyzer FROM f_all) AS f ON f.analyzer = l.analyzer GROUP BY ALL""")
 def analyzer_listing(spark, sf_dir):
-    """The analyzers with what each found."""
+    """Every analyzer with what it needs, what it publishes and what it found, which may be nothing."""
     from sitelens.plans.catalog_analysis import stored_findings
 
-    known = spark.createDataFrame([(n,) for n in ANALYZERS if n != "opportunities"],
-                                  "analyzer string")
+    known = spark.createDataFrame(_described(), "analyzer string, name string, kind string, depends_on string, provides string")
     per_site = stored_findings(spark, sf_dir).groupBy("analyzer", "site").agg(
         F.count("*").alias("k"))
     found = per_site.groupBy("analyzer").agg(F.sum("k").alias("findings"),
                                              F.count("*").alias("sites"))
-    return known.join(found, "analyzer")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
+    return known.join(found, "analyzer", "left").select(*known.columns, zero("findings"), zero("sites"))
