@@ -79,3 +79,20 @@ def test_odd_rows(spark, documents, odd_rows):
         out = stage(spark, docs, SF)
         assert out.count() <= len(odd_rows)
         assert stage(spark, documents([]), SF).count() == 0
+
+
+def test_rows_of_one_id_are_judged_by_their_own_texts(spark, documents):
+    a, b = ("alpha beta gamma delta epsilon zeta eta theta iota kappa " * 3).strip(), "another text of some eight words or so here"
+    docs = documents([(3, a), (5, a), (5, b), (None, a)])
+    assert rows(corpus_pipeline.near_duplicates(spark, docs.filter("doc_id IS NOT NULL"), SF)) == [(3, a), (5, b)]
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").filter("length(text) > 100").first().text
+    out = corpus_pipeline.decontamination(spark, documents([(1, a), (1, item), (2, b)]), SF)
+    assert rows(out) == [(1, a), (2, b)]
+
+
+def test_columns_of_any_name(spark, documents):
+    names = ("hit", "hit_id", "hit_hash", "row", "text_hash", "class", "gone", "lines", "doc", "a.b")
+    docs = documents([(1, "some words in a line of text"), (2, None)]).select("*", *[F.lit(n).alias(n) for n in names])
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        assert out.count() == 2 and (name == "bpe" or out.schema == docs.schema), name
