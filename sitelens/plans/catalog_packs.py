@@ -8,13 +8,15 @@ from pyspark.sql import functions as F
 from sitelens import rules
 from sitelens.operators import facts, opportunities, technologies
 from sitelens.operators.rule_packs import RulePack, load_opportunity_rules, load_pack
+from sitelens.operators.rule_table import load_rule_table
 from sitelens.plans.catalog import register
 from sitelens.plans.catalog_analysis import _analysed
+from sitelens.session import written
 from sitelens.sources.captures import SUFFIXES, captured_pages, captured_sites
 
 
-def long_pack(spark, sf_dir) -> RulePack:
-    """The shipped rules and one for every part, which looks for the comment ``<!-- ad N -->``."""
+def long_rules(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """The shipped rules and one for every part, which looks for the comment ``<!-- ad N -->``; current versions."""
     parts = spark.read.parquet(f"{sf_dir}/part.parquet")
     key = F.col("p_partkey").cast("string")
     more = parts.select(
@@ -23,13 +25,17 @@ def long_pack(spark, sf_dir) -> RulePack:
         F.concat(F.lit("<!--\\s*AD ("), key, F.lit(") -->")).alias("pattern"), F.lit(1).alias("version_group"),
         F.lit("possible").alias("confidence"))
     latest = spark.createDataFrame(sorted(rules.LATEST_VERSIONS.items()), "tech_id string, latest string")
-    return load_pack(rules.signals_table(spark).unionByName(more), latest)
+    return rules.signals_table(spark).unionByName(more), latest
+
+
+def long_pack(spark, sf_dir) -> RulePack:
+    return load_pack(*long_rules(spark, sf_dir))
 
 
-def pack_frame(spark, sf_dir) -> DataFrame:
-    pack = long_pack(spark, sf_dir)
-    firsts = facts.first_facts(facts.page_facts(captured_pages(spark, sf_dir), pack, ("page", "signals"), suffixes=SUFFIXES))
-    return technologies.with_technologies(facts.site_frame(captured_sites(spark, sf_dir), firsts=firsts), pack)
+def pack_hits(spark, sf_dir) -> DataFrame:
+    table = load_rule_table(*long_rules(spark, sf_dir))
+    firsts = facts.first_facts(facts.page_facts(captured_pages(spark, sf_dir), table, ("page", "signals"), suffixes=SUFFIXES))
+    return technologies.hits_table(captured_sites(spark, sf_dir), written(firsts, "facts"), table)
 
 
 _ADS = "FROM pg_all JOIN part ON contains(html, '<!-- ad ' || p_partkey || ' -->')"
@@ -39,15 +45,14 @@ _ADS = "FROM pg_all JOIN part ON contains(html, '<!-- ad ' || p_partkey || ' -->
 SELECT site, tech_id, signal_no, type, text FROM hits_all
 UNION ALL SELECT DISTINCT site, 'part' || p_partkey, 1, 'html', '<!-- ad ' || p_partkey || ' -->' {_ADS}""")
 def tech_match_tables(spark, sf_dir):
-    return pack_frame(spark, sf_dir).select("site", F.explode_outer("hits").alias("h")).select(
-        "site", "h.tech_id", "h.signal_no", "h.type", "h.text").where("tech_id is not null")
+    return pack_hits(spark, sf_dir).select("site", "hit.tech_id", "hit.signal_no", "hit.type", "hit.text")
 
 
 @register("tech_list_tables", f"""
 SELECT site, tech_id, name, category, version, confidence, latest, is_outdated FROM tech_all
 UNION ALL SELECT DISTINCT site, 'part' || p_partkey, p_name, 'framework', p_partkey::VARCHAR, 'possible', NULL, NULL {_ADS}""")
 def tech_list_tables(spark, sf_dir):
-    return technologies.explode_technologies(pack_frame(spark, sf_dir)).select(
+    return technologies.technology_table(pack_hits(spark, sf_dir)).select(
         "site", "tech_id", "name", "category", "version", "confidence", "latest", "is_outdated")
 
 
