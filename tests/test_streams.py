@@ -6,6 +6,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from sitelens.plans import catalog_streams
 from sitelens.streaming import jobs
 from sitelens.streaming.state import KeyedState
 
@@ -107,3 +108,15 @@ def test_a_batch_reads_only_its_own_buckets(spark, tmp_path):
         assert len(written) == 1
     assert set(sizes) == {1}
     assert {r.k: r.v for r in state.latest(spark, STATE).collect()}[7] == 8
+
+
+def test_parts_land_in_many_files_and_are_a_batch_each(spark, tmp_path):
+    rows = [(n, at(n % 600), n % 7, "click", float(n % 5), "{}") for n in range(4000)]
+    spark.createDataFrame(rows, "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string").repartition(
+        6).write.parquet(str(tmp_path / "events.parquet"))
+    for events in catalog_streams.arriving(spark, str(tmp_path), "events"):
+        jobs.stream_dedupe(events.select(events.ts.alias("event_time"), "event_id"), ["event_id"], str(tmp_path / "out"), str(tmp_path / "check"))
+    assert spark.read.parquet(str(tmp_path / "out/rows")).count() == 4000
+    assert sorted(p.name for p in (tmp_path / "out/rows").iterdir() if p.is_dir()) == [f"batch={n}" for n in range(catalog_streams.BATCHES)]
+    for n in range(catalog_streams.BATCHES):
+        assert spark.read.text(str(tmp_path / f"check/sources/0/{n}")).where("value LIKE '%.parquet%'").count() > 1
