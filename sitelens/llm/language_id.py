@@ -7,10 +7,12 @@ continuation counts (distinct left neighbours), derived from the next higher
 order, so the texts are read once. Probabilities of all languages are computed by
 joins of an order with its contexts and with the order below.
 
-The model is a set of sorted hash arrays, one per order: slots of SLOT_BITS bits
-with one column per language. A slot array cannot have more than 2**SLOT_BITS
-rows, whatever the corpus, which bounds what is sent to the workers; languages
-beyond LANGUAGES_AT_ONCE are scored in further blocks.
+The model is a set of sorted arrays of grams, one per order, with one column per
+language, and exact. What is sent to the workers is bounded: where an order has
+more than MOST_GRAMS grams, they get one gram of the highest order per slot of
+SLOT_BITS bits, the most frequent, and what they do not find there is counted by
+row and met with the tables of all orders by joins. Languages beyond
+LANGUAGES_AT_ONCE are scored in further blocks.
 
 Scoring: cross-entropy per symbol in every language over the whole text; the
 lowest wins. ``score`` is the posterior of the winner for at most EVIDENCE
@@ -38,6 +40,7 @@ from sitelens.session import written
 
 ORDER, SYMBOL_BITS, SLOT_BITS = 5, 12, 22
 SYMBOLS = 1 << SYMBOL_BITS
+MOST_GRAMS = 1 << SLOT_BITS  # of an order in a task's memory
 LANGUAGES_AT_ONCE = 8
 BLOCK_CHARS = 500_000
 HELD_GRAMS = 3_000_000  # distinct counts that a task keeps before it emits them
@@ -142,7 +145,8 @@ def model_tables(counts: DataFrame, langs: list[str]) -> tuple[list[DataFrame],
         backing = [F.col(f"q_{i}") for i in span] if below is not None else uniform
         p = [F.coalesce(F.coalesce(F.greatest(F.col(f"c_{i}") - cut[i], F.lit(0.0)), F.lit(0.0)) / F.col(f"s_{i}"), F.lit(0.0))
              + F.coalesce(F.col(f"b_{i}"), F.lit(1.0)) * backing[i] for i in span]
-        below = written(frame.select("gram", *[x.alias(f"v_{i}") for i, x in enumerate(p)]), "probabilities")
+        often = sum((F.coalesce(F.col(f"c_{i}"), F.lit(0)) for i in span), F.lit(0))
+        below = written(frame.select("gram", often.alias("often"), *[x.alias(f"v_{i}") for i, x in enumerate(p)]), "probabilities")
         tables.append(below)
     return tables, contexts
 
@@ -165,31 +169,38 @@ def slot(gram: np.ndarray) -> np.ndarray:
     return ((h ^ h >> np.uint64(32)) >> np.uint64(64 - SLOT_BITS)).astype(np.int32)
 
 
-def one_per_slot(table: DataFrame) -> DataFrame:
-    """At most 2**SLOT_BITS rows: of the grams that share a slot the smallest."""
+def one_per_slot(table: DataFrame, order: Column | str = "gram") -> DataFrame:
+    """At most 2**SLOT_BITS rows: of the grams that share a slot the first in the order."""
     values = F.struct(*[c for c in table.columns if c != "gram"])
     return table.groupBy(F.shiftrightunsigned(F.xxhash64("gram"), 64 - SLOT_BITS).cast("int").alias("slot")).agg(
-        F.min_by(values, "gram").alias("v")).select("slot", "v.*")
+        F.min_by(values, order).alias("v")).select("slot", "v.*")
 
 
 class Model:
-    """Sorted slots of the grams and of the contexts of each order, with a log2 for every language."""
+    """Sorted grams and contexts of each order, with a log2 for every language.
 
-    def __init__(self, langs: list[str], tables: list[pa.Table], contexts: list[pa.Table]):
-        self.langs = langs
+    With ``rest``, the tables and contexts that are too long for a task, it holds grams of
+    the highest order only.
+    """
+
+    def __init__(self, langs: list[str], tables: list[pa.Table], contexts: list[pa.Table],
+                 rest: tuple[list[DataFrame], list[DataFrame]] | None = None):
+        self.langs, self.rest = langs, rest
         self.grams, self.contexts = ([self.sorted(t) for t in every] for every in (tables, contexts))
 
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "rest": None}
+
     def sorted(self, table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        slots = table.column("slot").to_numpy()
+        grams = table.column("gram").to_numpy()
         value = np.stack([table.column(f"v_{i}").to_numpy() for i in range(len(self.langs))], 1).astype(float)
-        order = np.argsort(slots)
-        return slots[order], np.log2(np.nan_to_num(value[order], nan=1.0)).astype(np.float32)
+        order = np.argsort(grams)
+        return grams[order], np.log2(np.nan_to_num(value[order], nan=1.0)).astype(np.float32)
 
     @staticmethod
     def find(held: tuple[np.ndarray, np.ndarray], gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        wanted = slot(gram)
-        at = np.minimum(np.searchsorted(held[0], wanted), len(held[0]) - 1)
-        return held[1][at], held[0][at] == wanted
+        at = np.minimum(np.searchsorted(held[0], gram), len(held[0]) - 1)
+        return held[1][at], held[0][at] == gram
 
     def log_p(self, gram: np.ndarray, k: int = ORDER) -> np.ndarray:
         """log2 p of each gram in all languages; a gram that no language has backs off."""
@@ -234,6 +245,54 @@ def with_bits(rows: DataFrame, model: Broadcast) -> DataFrame:
     return rows.mapInArrow(run, DRAWN)
 
 
+def log_p_table(grams: DataFrame, model: Model) -> DataFrame:
+    """(gram, p_0, ...): what ``Model.log_p`` says of each gram, by joins with the tables of all orders."""
+    span = range(len(model.langs))
+    frame = grams.withColumns({f"p_{i}": F.lit(-float(SYMBOL_BITS)) for i in span})
+    for k, (table, context) in enumerate(zip(*model.rest, strict=True), start=1):
+        table = table.select(F.col("gram").alias("of"), *[F.log2(f"v_{i}").alias(f"g_{i}") for i in span])
+        context = context.select(F.col("gram").alias("after"), *[F.log2(f"v_{i}").alias(f"l_{i}") for i in span])
+        frame = frame.withColumn("of", low(F.col("gram"), k)).withColumn("after", F.shiftright("of", SYMBOL_BITS)).join(
+            table, "of", "left").join(context, "after", "left").select(
+            "gram", *[F.coalesce(f"g_{i}", F.coalesce(f"l_{i}", F.lit(0.0)) + F.col(f"p_{i}")).alias(f"p_{i}") for i in span])
+    return frame
+
+
+def with_bits_by_joins(rows: DataFrame, model: Model) -> DataFrame:
+    """``with_bits`` of a model whose grams do not all fit a task: the others are counted by row and joined."""
+    span = range(len(model.langs))
+    rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
+    held = rows.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head, values = held.value.grams[0]
+        for batch in batches:
+            ids, texts = batch.column("row").to_numpy(), [t or "" for t in batch.column("text").to_pylist()]
+            for part in blocks(texts):
+                found, owner, letters = grams(texts[part])
+                size = part.stop - part.start
+                bits, there = held.value.find((head, values), found)
+                total = np.stack([np.bincount(owner, np.where(there, bits[:, i], 0), size) for i in span], 1)
+                n = np.where(letters, np.bincount(owner, minlength=size), 0)
+                yield pa.record_batch([pa.array(ids[part]), pa.nulls(size, pa.int64()), pa.array(n, pa.int64()),
+                                       pa.array(total.tolist(), pa.list_(pa.float64()))], names=["row", "gram", "n", "known"])
+                order = np.lexsort((found[~there], owner[~there]))
+                lost, of = found[~there][order], owner[~there][order]
+                starts = np.flatnonzero(np.r_[len(lost) > 0, (lost[1:] != lost[:-1]) | (of[1:] != of[:-1])])
+                yield pa.record_batch([pa.array(ids[part][of[starts]]), pa.array(lost[starts]), pa.array(np.diff(np.r_[starts, len(lost)]), pa.int64()),
+                                       pa.nulls(len(starts), pa.list_(pa.float64()))], names=["row", "gram", "n", "known"])
+
+    counted = written(rows.select("row", "text").mapInArrow(run, "row bigint, gram bigint, n bigint, known array<double>"), "counted")
+    lost = counted.filter("gram IS NOT NULL").select("row", "gram", F.col("n").alias("times"))
+    sums = lost.join(log_p_table(lost.select("gram").distinct(), model), "gram").groupBy("row").agg(
+        *[F.sum(F.col("times") * F.col(f"p_{i}")).alias(f"s_{i}") for i in span])
+    per_row = counted.filter("gram IS NULL").select("row", F.col("n").alias("symbols"), "known").join(sums, "row", "left")
+    # a text without letters has no symbol that counts
+    added = F.array(*[F.when(F.col("symbols") > 0, -(F.get("known", F.lit(i)) + F.coalesce(f"s_{i}", F.lit(0.0))) / F.col("symbols")).otherwise(0.0)
+                      for i in span])
+    return rows.drop("n").join(per_row, "row").select("doc_id", "lang", "text", F.concat("bits", added).alias("bits"), F.col("symbols").alias("n"))
+
+
 def learn(rows: DataFrame) -> list[Model]:
     """Models of blocks of languages from (lang, text) rows; both are not null."""
     counts = written(count_grams(rows), "gram_counts")
@@ -241,8 +300,13 @@ def learn(rows: DataFrame) -> list[Model]:
     models = []
     for i in range(0, len(langs), LANGUAGES_AT_ONCE):
         some = langs[i:i + LANGUAGES_AT_ONCE]
-        parts = model_tables(counts.filter(F.col("lang").isin(some)), some)
-        models.append(Model(some, *[[one_per_slot(t).toArrow() for t in part] for part in parts]))
+        tables, contexts = model_tables(counts.filter(F.col("lang").isin(some)), some)
+        # no order below has more grams, and no order more contexts than grams
+        if tables[-1].count() <= MOST_GRAMS:
+            models.append(Model(some, *[[t.toArrow() for t in part] for part in (tables, contexts)]))
+        else:
+            often = one_per_slot(tables[-1].withColumn("key", F.col("gram")), F.struct(-F.col("often"), F.col("gram")))
+            models.append(Model(some, [often.drop("slot").withColumnRenamed("key", "gram").toArrow()], [], (tables, contexts)))
     return models
 
 
@@ -259,7 +323,10 @@ def identify(docs: DataFrame, learn_from: Column, id_col: str = "doc_id") -> Dat
     drawn = rows.select("doc_id", F.when(F.col("learn"), F.col("lang")).alias("lang"), "text",
                         F.array().cast("array<double>").alias("bits"), F.lit(0).cast("bigint").alias("n"))
     for model in models:
-        drawn = with_bits(drawn, docs.sparkSession.sparkContext.broadcast(model))
+        if model.rest is None:
+            drawn = with_bits(drawn, docs.sparkSession.sparkContext.broadcast(model))
+        else:
+            drawn = with_bits_by_joins(drawn, model)
     best = F.array_min("bits")
     odds = F.aggregate("bits", F.lit(0.0), lambda s, b: s + F.pow(
         F.lit(2.0), -(b - F.array_min("bits")) * F.least(F.col("n"), F.lit(float(EVIDENCE)))))

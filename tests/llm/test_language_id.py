@@ -101,3 +101,23 @@ def test_many_languages_in_blocks(spark, documents, monkeypatch):
     rows = [(i, w * 40, lang) for i, (w, lang) in enumerate([("aba ", "a"), ("cdc ", "b"), ("efe ", "c"), ("ghg ", "d"), ("iji ", "e")])]
     got = {r.doc_id: r.lang_pred for r in li.identify(documents(rows), learn_from=F.lit(True)).collect()}
     assert got == {i: lang for i, (_, lang) in enumerate((r[1], r[2]) for r in rows)}
+
+
+def test_grams_are_exact_and_those_beyond_memory_are_joined(spark, monkeypatch):
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(80).select(
+        "doc_id", F.substring("text", 1, 800).alias("text"), "lang").collect()
+    frame = spark.createDataFrame([*rows, *rows[:3], (900, None, "en"), (901, " 12", "de"), (None, "\u00dcberall zzz qqq", None)], "doc_id bigint, text string, lang string")
+    learnt = frame.filter("lang IS NOT NULL AND text IS NOT NULL")
+    answers = []
+    for bits, most in ((22, 1 << 22), (8, 100), (3, 100)):
+        # slots that nearly all grams share change nothing
+        monkeypatch.setattr(li, "SLOT_BITS", bits)
+        monkeypatch.setattr(li, "MOST_GRAMS", most)
+        (model,) = li.learn(learnt.select("lang", "text"))
+        assert (model.rest is not None) == (bits < 22)
+        answers.append(sorted(((r.doc_id is None, r.doc_id, r.lang_pred, r.rejected, r.score, r.bits) for r in li.identify(
+            frame, learn_from=F.lit(True)).collect()), key=repr))
+    for other in answers[1:]:
+        assert [a[:4] for a in other] == [a[:4] for a in answers[0]]
+        for a, b in zip(answers[0], other, strict=True):
+            assert a[4] == pytest.approx(b[4], abs=1e-4) and (a[5] == b[5] if a[5] is None else a[5] == pytest.approx(b[5], abs=1e-4))
