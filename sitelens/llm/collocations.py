@@ -10,7 +10,8 @@
    two Burrows-Wheeler transforms. From the interval of every word, one step to the
    left gives the intervals of all two-word phrases in both transforms (the second
    narrows as the first is extended), and one step to the right those of three words.
-   A step extends all intervals by all words at once; a count is a width.
+   A step extends intervals by all words at once, some STEP_PLACES of their places after
+   another; a count is a width.
 4. Sums. Phrases with their counts go to buckets of about BUCKET_GRAMS of them, packed
    as arrays, and are added up there. A phrase comes once from each shard, so a
    frequent one weighs no more than others.
@@ -44,6 +45,7 @@ LEAST, SCALE, FIRST, INSIDE_PERCENT = 10, 1_000_000, 2000, 50
 SHARD_WORDS = 1 << 20
 BUCKET_GRAMS = 1 << 20
 BLOCK = 1 << 22  # bytes that are cut into words at once
+STEP_PLACES = 1 << 17  # places that are extended at once
 BREAK = b"."
 #: A-Z in lower case; the signs that end a piece become one sign that no word holds
 PIECES = bytes(c + 32 if 65 <= c <= 90 else 46 if c in b".,;:!?\n\x0b\x0c\r" else c for c in range(256))
@@ -136,7 +138,11 @@ class Interval(NamedTuple):
 
 
 class FMIndex:
-    """Both transforms of a text of numbers below ``top`` (0: break), sorted to a depth of three."""
+    """Both transforms of a text of numbers below ``top`` (0: break), sorted to a depth of three.
+
+    Signs are kept in 32 bits, and what a step needs besides its result is bounded by
+    STEP_PLACES and by the widest interval.
+    """
 
     def __init__(self, text: np.ndarray, top: int) -> None:
         self.text, self.top, self.size = text, top, len(text)
@@ -145,14 +151,23 @@ class FMIndex:
 
     def _transform(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The sign before each place in sorted order, and (sign, row) of all rows in the order of signs."""
-        a = text.astype(np.int64)
-        b, c = np.r_[a[1:], 0], np.r_[a[2:], 0, 0][:len(a)]
         if self.top < 1 << 21:
-            order = np.argsort((a * self.top + b) * self.top + c, kind="stable")
+            key = text.astype(np.int64)
+            for ahead in (1, 2):
+                key *= self.top
+                key[:-ahead] += text[ahead:]
+            order = np.argsort(key, kind="stable")
+            del key
         else:
-            order = np.lexsort((c, b, a))
-        sign = a[order - 1]  # the first place has the last sign before it, which is a break
-        return sign, np.sort(sign * self.size + np.arange(self.size))
+            order = np.lexsort((np.r_[text[2:], 0, 0][:len(text)], np.r_[text[1:], 0], text))
+        order -= 1  # the first place has the last sign before it, which is a break
+        sign = text[order].astype(np.int32)
+        del order
+        ranks = sign.astype(np.int64)
+        ranks *= self.size
+        ranks += np.arange(self.size, dtype=np.int32 if self.size < 1 << 31 else np.int64)
+        ranks.sort()
+        return sign, ranks
 
     def words(self) -> Interval:
         count = np.bincount(self.text, minlength=self.top)
@@ -162,7 +177,18 @@ class FMIndex:
 
     def _step(self, of: Interval, transform: tuple) -> tuple[np.ndarray, ...]:
         """Every extension of every interval: (its interval, the sign, count, where it begins here, and there)."""
+        ends = np.cumsum(of.count)
+        places = int(ends[-1]) if len(ends) else 0
+        # intervals are extended each by itself, so any cut between them gives the same
+        cuts = np.unique(np.r_[0, np.searchsorted(ends, np.arange(STEP_PLACES, places, STEP_PLACES)), len(ends)])
+        parts = [self._extended(of, lo, hi, transform) for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
+        parts = parts or [self._extended(of, 0, 0, transform)]
+        return tuple(np.concatenate(column) for column in zip(*parts, strict=True))
+
+    def _extended(self, every: Interval, lo: int, hi: int, transform: tuple) -> tuple[np.ndarray, ...]:
+        """The step for the intervals from ``lo`` to ``hi``."""
         sign, ranks = transform
+        of = Interval((), every.lo[lo:hi], every.count[lo:hi], every.other[lo:hi])
         first = np.cumsum(of.count) - of.count
         rows = np.arange(int(of.count.sum())) + np.repeat(of.lo - first, of.count)
         key = np.sort(np.repeat(np.arange(len(of.lo)), of.count) * self.top + sign[rows])
@@ -174,7 +200,7 @@ class FMIndex:
         parent, extension, count, there = (x[use] for x in (parent, extension, count, there))
         # the rows of one sign keep their order: the rank of the first row within it is where the interval begins
         here = np.searchsorted(ranks, extension * self.size + of.lo[parent])
-        return parent, extension, count, here, there
+        return parent + lo, extension.astype(np.int32), count, here, there
 
     def left(self, of: Interval) -> Interval:
         parent, sign, count, here, there = self._step(of, self.before)
@@ -219,12 +245,13 @@ def phrases_of(shards_: DataFrame, frequent: DataFrame, buckets: int) -> DataFra
                 ids = np.frombuffer(ids.as_buffer(), np.int32)
                 to = np.zeros(max(int(ids.max(initial=0)), int(local.max())) + 1, np.int64)
                 to[local] = np.arange(1, len(number))
-                text = to[ids]
+                text = to[ids].astype(np.int32)
                 # of breaks in a row one is enough
                 text = text[np.r_[True, (text[1:] > 0) | (text[:-1] > 0)]]
                 index = FMIndex(text, len(number))
                 two = index.left(index.words())
-                for found in (two, index.right(two)):
+                for step in (lambda: two, lambda: index.right(two)):  # three only when two is packed
+                    found = step()
                     if not len(found.count):  # no two frequent words stand beside each other
                         continue
                     words = tuple(number[w] for w in found.words)

@@ -1,5 +1,6 @@
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -79,6 +80,26 @@ def test_intervals_count_all_phrases():
                     assert keys[begin][:2] == phrase and (begin == 0 or keys[begin - 1][:2] < phrase)
 
 
+def test_steps_need_little_memory(monkeypatch):
+    rng = np.random.default_rng(6)
+    text = np.minimum(rng.zipf(1.3, 1 << 18), 20_000).astype(np.int32)
+    text[rng.random(1 << 18) < 0.1] = 0
+
+    def phrases():
+        index = c.FMIndex(text, 20_001)
+        two = index.left(index.words())
+        return [(*found.words, found.count) for found in (two, index.right(two))]
+
+    whole = phrases()
+    monkeypatch.setattr(c, "STEP_PLACES", 1 << 13)
+    tracemalloc.start()
+    parts = phrases()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert all((x == y).all() for a, b in zip(whole, parts, strict=True) for x, y in zip(a, b, strict=True))
+    assert peak < 72 * len(text)  # bytes for each place, results included
+
+
 def test_packing_round_trip():
     grams = np.random.default_rng(1).integers(-(2**62), 2**62, (13, 4))
     assert (c.unpacked(c.packed(grams), 4) == grams).all()
