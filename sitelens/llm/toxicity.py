@@ -101,6 +101,18 @@ class LabelModel:
         return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
 
 
+def votes_of(features: list[np.ndarray], width: int, voters: list[int]) -> np.ndarray:
+    """1 where a row (given as the list of its features) has the voter's feature; only the voters get columns."""
+    flat = np.concatenate(features)
+    owner = np.repeat(np.arange(len(features)), [len(f) for f in features])
+    place = np.full(width, -1)
+    place[voters] = np.arange(len(voters))
+    votes = np.zeros((len(features), len(voters)))
+    speaks = place[flat] >= 0
+    votes[owner[speaks], place[flat[speaks]]] = 1
+    return votes
+
+
 def logistic(features: list[np.ndarray], width: int, target: np.ndarray, strength: float, rounds: int) -> tuple[np.ndarray, float]:
     """Weights and bias of rows given as lists of their features, by gradient steps with momentum (Adam)."""
     flat = np.concatenate(features) if len(features) else np.empty(0, np.int64)
@@ -180,13 +192,11 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from: Column) -> Model:
     features, toxic = [np.array(f, np.int64) for f in drawn["f"]], drawn["toxic"].to_numpy(float)
     speaking = known[(known["odds"] > 1.5) & (known["gain"] > 20)]["sign"].head(MOST_VOTERS)
     voters = [number[s] for s in dict.fromkeys([*speaking, *SEEDS, *PATTERNS])]
-    votes = np.zeros((len(features), len(names)), np.float32)
-    votes[np.repeat(np.arange(len(features)), [len(f) for f in features]), np.concatenate(features)] = 1
     prior = float(np.clip(toxic.mean(), 0.005, 0.5))
-    cast = votes[:, voters].astype(float)
+    cast = votes_of(features, len(names), voters)
     cast = np.column_stack([cast, cast[:, :len(voters) - len(PATTERNS)].max(1) == 0])
     posterior = LabelModel(cast, prior, toxic).posterior(cast)
-    del votes, cast
+    del cast
     weights, bias = logistic(features, len(names), posterior, strength=2e-4, rounds=300)
     logits = np.array([bias + weights[f].sum() for f in features])
     (slope,), shift = platt(logits, toxic)
