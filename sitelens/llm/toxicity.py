@@ -107,7 +107,7 @@ def votes_of(features: list[np.ndarray], width: int, voters: list[int]) -> np.nd
     owner = np.repeat(np.arange(len(features)), [len(f) for f in features])
     place = np.full(width, -1)
     place[voters] = np.arange(len(voters))
-    votes = np.zeros((len(features), len(voters)))
+    votes = np.zeros((len(features), len(voters)), order="F")  # by columns: sums of another order round differently
     speaks = place[flat] >= 0
     votes[owner[speaks], place[flat[speaks]]] = 1
     return votes
