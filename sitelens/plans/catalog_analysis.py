@@ -22,7 +22,7 @@ def frame(spark: SparkSession, sf_dir: str, scan: str = "all", **options) -> Dat
 
 def first_facts(spark, sf_dir, *parts, scan="all") -> DataFrame:
     return facts.first_facts(facts.page_facts(
-        captured_pages(spark, sf_dir, scan), parts=parts, suffixes=SUFFIXES))
+        facts.spread(captured_pages(spark, sf_dir, scan)), parts=parts, suffixes=SUFFIXES))
 
 
 def tech_frame(spark, sf_dir, scan="all") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from sitelens.functions.columns import top_rows
 from sitelens.operators import contacts, facts
 from sitelens.plans import catalog
+from sitelens.plans.analyze import analyze
 from sitelens.session import written
 from sitelens.sources import businesses, snapshots
 from sitelens.sources.captures import captured_pages, captured_sites
@@ -27,6 +28,16 @@ def test_page_source_is_read_once_and_never_shuffled(spark):
     assert "partial_min_by" in text
 
 
+def test_pages_of_one_row_group_are_searched_by_all_tasks(spark):
+    pages, sites = captured_pages(spark, SMALL), captured_sites(spark, SMALL)
+    text = plan(analyze(sites, pages, suffixes=SUFFIXES))
+    exchanges = [line for line in text.splitlines() if "Exchange hashpartitioning(site" in line]
+    assert any("page_no" in line for line in exchanges)
+    # the facts are those of the pages as they were read
+    rows = lambda p: sorted(map(str, facts.first_facts(facts.page_facts(p, suffixes=SUFFIXES)).collect()))
+    assert rows(facts.spread(pages)) == rows(pages)
+
+
 def test_site_rows_do_not_read_the_source(spark):
     text = plan(captured_sites(spark, SMALL))
     scan = next(line for line in text.splitlines() if "FileScan" in line)
