@@ -1,5 +1,8 @@
 """Plans that hold at scale: sources stay out of shuffles, groups are limited early."""
 
+import time
+from pathlib import Path
+
 from conftest import PAGES, SITES, SUFFIXES, page, site
 from pyspark.sql import functions as F
 
@@ -7,7 +10,7 @@ from sitelens.functions.columns import top_rows
 from sitelens.operators import contacts, facts
 from sitelens.plans import catalog
 from sitelens.plans.analyze import analyze
-from sitelens.session import written
+from sitelens.session import discard, written
 from sitelens.sources import businesses, snapshots
 from sitelens.sources.captures import captured_pages, captured_sites
 
@@ -102,3 +105,17 @@ def test_every_query_has_a_check_of_the_same_columns(spark):
     assert len(catalog.QUERIES) > 150
     assert set(catalog.QUERIES) == set(catalog.ORACLES)
     assert SITES and PAGES and page and site
+
+
+def test_shuffle_files_go_with_the_write(spark):
+    files = lambda: {str(f) for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(
+        spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles())}
+    before = files()
+    copy = written(spark.range(100_000).repartition(7, "id"), "numbers")
+    for _ in range(50):  # removal is announced to the executors
+        if not files() - before:
+            break
+        time.sleep(0.2)
+    assert not files() - before and copy.count() == 100_000
+    discard(copy)
+    assert not Path(copy.written_to).exists()
