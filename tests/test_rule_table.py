@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 from conftest import PAGES, SITES, page, site
+from pyspark.sql import functions as F
 from test_rule_packs import ROWS, signals, small
 
 from sitelens.operators import facts, rule_packs, technologies
@@ -80,3 +81,14 @@ def test_a_bad_row_stops_the_table(spark, change, said):
         bad[at] = value
     with pytest.raises(PackError, match=said):
         load_rule_table(signals(spark, [*ROWS, tuple(bad)]))
+
+
+def test_few_strangers_pass_the_bitmap(spark):
+    table = load_rule_table(signals(spark, [(f"t{i}", f"T{i}", "analytics", 1, "html", None, f"<!-- ad ({i}) -->", 1, "likely") for i in range(2000)]))
+    text = " ".join(f"{i * 7919:x}" for i in range(8000)) + "<!-- ad 1234 --><!-- AD 77 -->"
+    pages = spark.createDataFrame([(text,)], "html string")
+    found = set(pages.select(table.candidates(pages.html, F.lit(""))).first()[0])
+    own = {int(substrings(n, [len(n)]).view(np.int64)[0]) for n in ("<!-- ad 1234 -->", "<!-- ad 77 -->")}
+    tried = len(substrings(text, table.lengths))
+    # one in 32 by one bit of each needle, whose candidates fill the memory of tasks
+    assert tried > 100_000 and len(found & own) == 2 and len(found) < tried / 500
